@@ -2,10 +2,10 @@
 
 One hash of each shingle fills the bins of a one-permutation sketch; empty bins take the value of the first filled
 bin in a random order of their own (optimal densification). Five bins make a band, and documents with an equal band
-meet in a bucket. A bucket proposes stars, hub to members, never all of its pairs: the member with the smallest id is
-its first hub. Proposed pairs are confirmed on their full shingle sets. While a bucket's members are still in different
-components, more of its members become hubs, eight times as many each round, so that a link that no hub shares is found as
-well; a bucket ends when it has one component or all its members have been hubs.
+meet in a bucket. A bucket proposes a star, its member with the smallest id to the others, never all of its pairs.
+Proposed pairs are confirmed on their full shingle sets, and confirmed links give components. Where members of a bucket are then
+still in different components, a link that its hub doesn't share could be left: for those documents alone an exact prefix
+filter proposes every pair of different components that could link, so that the star loses none.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytegrid import mix, shingle_sets
@@ -141,19 +141,41 @@ def _first_stars(buckets: DataFrame) -> DataFrame:
 
 
 def _open(buckets: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Rows of the buckets whose members are in different components, with the component and the bucket's size m."""
-    rows = buckets.select("key", "id", "n").withColumn("component", F.col("id"))
+    """(id, component) of the members of buckets that have members in different components."""
+    rows = buckets.select("key", "id").withColumn("component", F.col("id"))
     if label is not None:
         rows = rows.drop("component").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    size = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    return stored(rows.join(size.select("key", "m"), "key"), "open")
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return rows.join(mixed, "key", "left_semi").select("id", "component").distinct()
 
 
-def _more_stars(rows: DataFrame, low: int, high: int) -> DataFrame:
-    """Stars around further hubs: of m members, those at low to high in the order of a hash."""
-    part = (F.xxhash64("key", "id") / F.lit(float(2**64)) + 0.5) * F.col("m")
-    hub = rows.where((part >= low) & (part < high)).select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-    return _fitting(rows.join(hub, "key").where("component <> hub_component"))
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [s.view(np.int64) for s in shingle_sets(batch.column(2), SHINGLE)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "component", "n", "grams"])
+
+
+def _prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members in different components that could link, without exception.
+
+    With each set ordered from its rarest shingle, two sets that share PERCENT of their union share one of the first
+    n - ceil(PERCENT n / 100) + 1 of either, and the places of the first shared one leave enough after them. Passages that many
+    documents share stand at the end of that order.
+    """
+    rows = members.join(texts, "id").select("id", "component", "text").mapInArrow(_shingled, "id long, component long, n long, grams array<long>")
+    rows = stored(rows.select("id", "component", "n", F.explode("grams").alias("gram")), "grams")
+    common = rows.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("id")
+    place = F.row_number().over(own.orderBy("df", "gram")) + F.col("n") - F.count("*").over(own)
+    first = rows.join(common, "gram").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+    first = stored(first.select("gram", "id", "component", "n", "place"), "prefixes")
+    discard(rows)
+    other = first.select("gram", F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("place").alias("at"))
+    left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) + 1  # at most so many can be shared from the first shared one on
+    fits = (F.col("id") < F.col("b")) & (F.col("component") != F.col("c")) & (left * (100 + PERCENT) >= (F.col("n") + F.col("m")) * PERCENT)
+    pairs = stored(first.join(other, "gram").where(fits).select(F.col("id").alias("a"), "b").distinct(), "pairs")
+    discard(first)
+    return pairs
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -176,10 +198,9 @@ def link(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: s
     discard(reps)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = stored(texts.join(buckets.select("id").distinct(), "id"), "texts")
-    label, rows, low, high = None, buckets, 0, 0
-    while True:
-        pairs = stored(_more_stars(rows, low, high) if high else _first_stars(rows), "pairs")
-        low, high = high, 8 * max(1, high)
+    label = None
+    for propose in (lambda: stored(_first_stars(buckets), "pairs"), lambda: _prefix_pairs(_open(buckets, label), texts)):
+        pairs = propose()
         good = _confirm(pairs, texts)
         discard(pairs)
         if not good.isEmpty():
@@ -188,12 +209,7 @@ def link(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: s
             if old is not None:
                 discard(old)
         discard(good)
-        later = _open(rows, label)
-        discard(rows)
-        rows, most = later, later.agg(F.max("m")).first()[0]
-        if most is None or low >= most:
-            break
-    discard(rows)
+    discard(buckets)
     discard(texts)
     return label if label is not None else docs.sparkSession.createDataFrame([], "id long, component long")
 
