@@ -37,6 +37,9 @@ def _table(seed: int, n: int) -> np.ndarray:
 
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes other than ASCII letters and digits and those of longer characters.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 _EXACT = _table(17, 256)
 _FOLDED = _EXACT.copy()
 _FOLDED[ord("A") : ord("Z") + 1] = _EXACT[ord("a") : ord("z") + 1]
@@ -63,6 +66,18 @@ class Words:
     end: np.ndarray
     hashes: np.ndarray
     first: np.ndarray  # n_texts + 1
+    sums: np.ndarray  # running sums of the bytes' terms, and what undoes the place of a word's start
+    undo: np.ndarray
+
+    def prefix(self, size: int) -> np.ndarray:
+        """A hash of each word's first ``size`` bytes, or of the whole word if it is shorter."""
+        end = np.minimum(self.end, self.start + size)
+        return mix((self.sums[end] - self.sums[self.start]) * self.undo[self.start] + np.uint64(size << 32))
+
+    def suffix(self, size: int) -> np.ndarray:
+        """A hash of each word's last ``size`` bytes, or of the whole word if it is shorter."""
+        start = np.maximum(self.start, self.end - size)
+        return mix((self.sums[self.end] - self.sums[start]) * self.undo[start] + np.uint64(size << 40))
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +103,10 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray, folded: bool = False) -> Words:
-    """Words of the texts ``data[offsets[i]:offsets[i + 1]]``; ``folded`` hashes A-Z as a-z."""
+def words(data: np.ndarray, offsets: np.ndarray, folded: bool = False, apart: np.ndarray = _IS_BLANK) -> Words:
+    """Words of the texts ``data[offsets[i]:offsets[i + 1]]``; ``folded`` hashes A-Z as a-z, ``apart`` marks the bytes between words."""
     n = len(data)
-    inside = ~_IS_BLANK[data]
+    inside = ~apart[data]
     starts, ends = inside.copy(), inside.copy()
     if n:
         starts[1:] &= ~inside[:-1]
@@ -105,7 +120,7 @@ def words(data: np.ndarray, offsets: np.ndarray, folded: bool = False) -> Words:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((_FOLDED if folded else _EXACT)[data] * pw[:n], out=total[1:])
     hashes = mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64))
-    return Words(data, offsets, start, end, hashes, np.searchsorted(start, offsets))
+    return Words(data, offsets, start, end, hashes, np.searchsorted(start, offsets), total, inv)
 
 
 def shingles(w: Words, size: int) -> list[np.ndarray]:
