@@ -131,6 +131,13 @@ this is to. Nthe. Blely to the end. To. The road is. Onornd
 at. at. at. at at. at at at at. at
 onea onea onea onea at. onea at. the
 At At At At At At At At At At At
+Heer heenin heenin heenin heenin heenin heenin heenin heenin heenin heenin heenin
+nd nd nd nd thhein thhein thhein thhein thhein thhein nd nd nd nd thhein
+le le le le le pas pas pas pas pas pas pas pas pas pas
+is is is is eningti eningti eningti eningti eningti it it it theaat theaat theaat
+de de de de èêai èêai èêai èêai èêai èêai èêai
+the oferealy thines and thshorhe ingthnd onhe eningti with menton oferealy
+mail ofere onhe the reen nted and thines it
 anen anen to to to is. is. is. is. Ereren
 He is Thered and it is Onhan to Eresti of the Hation.
 It was to Paris and is. To. Be. Of Oninges at. The
