@@ -227,8 +227,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     # copies of one set and rows of one id hang together as well
     copies = signed.select("id", "digest").where("id is not null").join(sets, "digest").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    many = copies.join(label.select(F.col("id").alias("a"), "component"), "a", "left").select("b", F.coalesce("component", "a").alias("component"))
-    own = label.select(F.col("id").alias("b"), "component").union(many).groupBy("b").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    many = copies.join(label.select(F.col("id").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    own = label.select(F.col("id").alias("b"), "component").union(many.select("b", "component")).union(many.select("a", "component")).groupBy("b").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     own = stored(own, "components")
     if own.where("lo < hi").isEmpty():  # as a rule: no id is in two groups
         named = own.select(F.col("b").alias("id"), F.col("lo").alias("component"))
