@@ -4,12 +4,13 @@ A rolling hash over the last bytes cuts texts at places that their content alone
 chunks. A chunk is encoded once in each task that meets it (a bounded store holds chunks already seen) and its ids and
 decoded text are reused. At a join of two chunks the window around the cut, out to the nearest blank on either side, is encoded
 anew; the vocabulary's pre-tokeniser never crosses a blank, so beyond the window both encodings agree exactly. A chunk with no blank
-is part of a longer window.
+is part of a longer window. A new chunk's words are looked up among those already encoded before the tokenizer is asked.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +25,9 @@ from .runtime import prepare
 #: Bytes that the rolling hash sees, and the mean distance of cuts (a power of two).
 SPAN = 16
 MEAN_CHUNK = 512
-#: Bytes of chunk text kept for reuse in one task.
-STORE_BYTES = 32 << 20
+#: Chunks and words kept for reuse in one task.
+STORE_CHUNKS = 20_000
+STORE_WORDS = 150_000
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -56,34 +58,54 @@ def tokenizer(path: str):
     return t
 
 
+class Generations(dict):
+    """A bounded store: entries not met for a while go. Old and new entries are at most ``most`` each."""
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class ChunkedEncoder:
-    """Encodes whole texts, as the tokenizer does alone, from chunks."""
+    """Encodes whole texts, as the tokenizer does alone, from chunks; what a new chunk shares with others is its words."""
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
-        self.store: dict[bytes, tuple[bytes, str, bytes, bytes] | None] = {}
-        self.held = 0
+        self.chunks, self.words = Generations(STORE_CHUNKS), Generations(STORE_WORDS)
         self.met = self.encoded = 0
 
-    def _encode(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
-        """ids as little-endian uint32 and the decoded text, of each text."""
-        found = self.tok.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
-        ids = [x.ids for x in found]
+    def _encode(self, words: list[bytes]) -> dict[bytes, tuple[bytes, str]]:
+        """ids as little-endian uint32 and the decoded text, of each word."""
+        ids = [x.ids for x in self.tok.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)]
         decoded = self.tok.decode_batch(ids, skip_special_tokens=False)
-        return [(np.array(i, "<u4").tobytes(), d) for i, d in zip(ids, decoded, strict=True)]
+        return {w: (struct.pack(f"<{len(i)}I", *i), d) for w, i, d in zip(words, ids, decoded, strict=True)}
 
     @staticmethod
     def _inner(chunk: bytes) -> tuple[int, int] | None:
-        """The part between the chunk's first and last blank: what no join can change. Null without a blank."""
+        """The part between the chunk's first and last blank: what no join can change. None without a blank."""
         a, b = min((i for i in (chunk.find(b" "), chunk.find(b"\n")) if i >= 0), default=-1), max(chunk.rfind(b" "), chunk.rfind(b"\n"))
         return None if a < 0 else (a, b + 1)
 
+    @staticmethod
+    def _joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+        return b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts if x[0]])
+
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
         """ids (little-endian uint32) and decoded text of each text."""
-        plans, inner, windows = [], {}, {}
+        plans, known, fresh = [], {}, {}
         for text in texts:
-            data = np.frombuffer(text, np.uint8)
-            edges = [0, *cuts(data).tolist(), len(text)] if len(text) else []
+            edges = [0, *cuts(np.frombuffer(text, np.uint8)).tolist(), len(text)] if text else []
             parts: list[tuple[bool, bytes]] = []  # (is a window, bytes)
             open_: list[bytes] = []  # since the last blank
             for a, b in zip(edges, edges[1:], strict=False):
@@ -92,36 +114,33 @@ class ChunkedEncoder:
                 if span is None:
                     open_.append(chunk)
                     continue
-                window = b"".join((*open_, chunk[: span[0]]))
-                if window:
+                if window := b"".join((*open_, chunk[: span[0]])):
                     parts.append((True, window))
-                    windows[window] = None
                 body = chunk[span[0] : span[1]]
                 parts.append((False, body))
                 self.met += 1
-                if body not in self.store:
-                    inner[body] = None
+                if body not in known and body not in fresh:
+                    if (was := self.chunks[body]) is not None:
+                        known[body] = was
+                    else:
+                        fresh[body] = body.split()
                 open_ = [chunk[span[1] :]]
             if window := b"".join(open_):
                 parts.append((True, window))
-                windows[window] = None
             plans.append(parts)
-        fresh = list(inner)
         self.encoded += len(fresh)
-        now = dict(zip(fresh, self._encode(fresh), strict=True)) if fresh else {}
-        joins = list(windows)
-        repaired = dict(zip(joins, self._encode(joins), strict=True)) if joins else {}
-        out = []
-        for parts in plans:
-            got = [repaired[x] if window else now.get(x) or self.store[x] for window, x in parts]
-            out.append((b"".join(x[0] for x in got), " ".join(x[1] for x in got if x[0])))
-        for x in fresh:
-            if self.held + len(x) > STORE_BYTES:
-                self.store.clear()
-                self.held = 0
-            self.store[x] = now[x]
-            self.held += len(x)
-        return out
+        met = set().union(*fresh.values())
+        met.update(w for parts in plans for window, w in parts if window)
+        words = {w: self.words[w] for w in met}
+        if new := [w for w, x in words.items() if x is None]:
+            made = self._encode(new)
+            words |= made
+            for w in new:
+                self.words.put(w, made[w])
+        for body, own in fresh.items():
+            known[body] = self._joined([words[w] for w in own])
+            self.chunks.put(body, known[body])
+        return [self._joined([(words if window else known)[x] for window, x in parts]) for parts in plans]
 
 
 def _encoded(path: str, full: bool):
