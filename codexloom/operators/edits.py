@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 
-_FIRST, _TEXT = F.min("ordinal"), F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"])
+
+def _in_order(value: str) -> Column:
+    """A group's values by their blocks' ordinals; an aggregate."""
+    return F.transform(F.sort_array(F.collect_list(F.struct("ordinal", value))), lambda x: x[value])
+
 
 
 def exclude(blocks: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -49,8 +53,8 @@ def split_at(blocks: DataFrame, cut: Column) -> DataFrame:
 def join_groups(blocks: DataFrame, group: Column) -> DataFrame:
     """A block for each group of neighbours of a document: members' texts with blanks between; valid if none is skipped."""
     by = blocks.withColumn("group_", group).groupBy("doc_id", "group_").agg(
-        F.count("*").alias("members"), _FIRST.alias("ordinal"), (F.max("ordinal") - F.min("ordinal") + 1 == F.count("*")).alias("valid"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "block_id"))), lambda x: x["block_id"]), "|").alias("ids"), F.array_join(_TEXT, " ").alias("text"),
+        F.count("*").alias("members"), F.min("ordinal").alias("ordinal"), (F.max("ordinal") - F.min("ordinal") + 1 == F.count("*")).alias("valid"),
+        F.array_join(_in_order("block_id"), "|").alias("ids"), F.array_join(_in_order("text"), " ").alias("text"),
     )
     own = F.concat(F.lit("blk_join_"), ids.short_sha(F.col("ids")))
     return by.select("doc_id", own.alias("block_id"), "ordinal", "members", "valid", "text")
