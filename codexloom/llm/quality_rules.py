@@ -1,7 +1,7 @@
 """Quality rules with risk-controlled cutoffs, all in DataFrame functions.
 
 Fixed rules fail a document outright. Beyond them, a document is rejected if a signal (symbols, capitals, repeated lines,
-repeated windows) exceeds its stratum's cutoff. Cutoffs come from labelled holdouts: a cutoff is admitted only if the exact
+words repeated at once) exceeds its stratum's cutoff. Cutoffs come from labelled holdouts: a cutoff is admitted only if the exact
 binomial tail says that it rejects at most ``RISK`` of the good documents of the stratum, at level ``LEVEL`` shared among all
 strata, signals and cutoffs tried (Bonferroni). Of the admitted ones that catch nearly as many bad documents as any, the
 one with the fewest good documents rejected is taken, the largest in a tie. Without an admitted cutoff a signal rejects nothing.
@@ -20,13 +20,13 @@ BLANK = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-SIGNALS = ("symbols", "capitals", "dup_lines", "repeats")
+SIGNALS = ("symbols", "capitals", "dup_lines", "runs")
 CUTOFFS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5)
 #: False rejection of good documents admitted for a signal in a stratum, and the chance that any admitted cutoff breaks it.
-RISK = 0.01
+RISK = 0.005
 LEVEL = 0.05
 #: Share of the best admitted cutoff's catch that the chosen one keeps.
-NEARLY = 0.95
+NEARLY = 0.98
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -57,11 +57,13 @@ def _free(df: DataFrame, *names: str) -> list[str]:
 def with_signals(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
     """``docs`` with one struct column more, and that column's name: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words (long), the share of each signal (double) and base_failed (boolean)."""
-    text, words, lines, h, name = _free(docs, "q_text", "q_words", "q_lines", "q_hash", "quality")
+    text, words, lines, h, runs, name = _free(docs, "q_text", "q_words", "q_lines", "q_hash", "q_runs", "quality")
     keep = docs.columns
     df = docs.select("*", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
     df = df.select("*", F.filter(F.split(text, BLANK), lambda w: w != "").alias(words), F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))).alias(lines))
     df = df.withColumn(h, F.transform(words, lambda w: F.xxhash64(w)))
+    same = F.zip_with(h, F.slice(h, 2, F.size(h)), lambda a, b: (a == b).cast("int"))
+    df = df.withColumn(runs, F.aggregate(same, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0))))
     for step in (2, 3, 5):  # after these, the hash at a position is of 2, 4, 8 words
         df = df.withColumn(h, F.zip_with(h, F.slice(h, step, F.size(h)), lambda a, b: F.xxhash64(a, b)))
     df = df.withColumn(h, F.slice(h, 1, F.greatest(F.size(h) - (WINDOW - 1), F.lit(0))))
@@ -73,7 +75,7 @@ def with_signals(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, st
         F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s + F.length(w)).alias(text),
         F.struct(
             F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), count("[#*$%&|<>]").alias("n_symbols"), count("[A-Z]").alias("n_capitals"),
-            F.when(some, _covered(F.col(h))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
+            F.when(some, _covered(F.col(h))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"), F.col(runs).alias("n_runs"),
         ).alias(lines),
     )
     n, chars, q = F.col(words), F.col(text), F.col(lines)
@@ -82,7 +84,7 @@ def with_signals(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, st
         *(F.col(f"`{c}`") for c in keep),
         F.struct(
             n.alias("n_words"), chars.alias("word_chars"), q["n_symbols"].alias("n_symbols"), q["n_dup_lines"].alias("n_dup_lines"), q["n_repeat_words"].alias("n_repeat_words"),
-            share(q["n_symbols"], chars).alias("symbols"), share(q["n_capitals"], chars).alias("capitals"), share(q["n_dup_lines"], q["n_lines"]).alias("dup_lines"), share(q["n_repeat_words"], n).alias("repeats"),
+            share(q["n_symbols"], chars).alias("symbols"), share(q["n_capitals"], chars).alias("capitals"), share(q["n_dup_lines"], q["n_lines"]).alias("dup_lines"), share(q["n_runs"], n).alias("runs"),
             ((n < MIN_WORDS) | (q["n_repeat_words"] * 100 > n * MAX_REPEAT_PERCENT)).alias("base_failed"),
         ).alias(name),
     ), name

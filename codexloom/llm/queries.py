@@ -96,15 +96,15 @@ d AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win)
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM d, range(8) AS o(k) GROUP BY doc_id),
 l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
 b AS (SELECT w.doc_id, stratum, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-  length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
-s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS symbols, n_capitals / greatest(word_chars, 1) AS capitals, n_dup_lines / greatest(n_lines, 1) AS dup_lines, n_repeat_words / greatest(n_words, 1) AS repeats FROM b),
+  length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals, len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_runs, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS symbols, n_capitals / greatest(word_chars, 1) AS capitals, n_dup_lines / greatest(n_lines, 1) AS dup_lines, n_runs / greatest(n_words, 1) AS runs FROM b),
 h AS (SELECT s.*, q.good FROM s JOIN (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id) q USING (doc_id) WHERE NOT base_failed),
-v AS (SELECT stratum, good, unnest(['symbols', 'capitals', 'dup_lines', 'repeats']) AS signal, unnest([symbols, capitals, dup_lines, repeats]) AS x FROM h),
+v AS (SELECT stratum, good, unnest(['symbols', 'capitals', 'dup_lines', 'runs']) AS signal, unnest([symbols, capitals, dup_lines, runs]) AS x FROM h),
 c AS (SELECT stratum, signal, cutoff, count_if(good)::BIGINT AS n, count_if(good AND x > cutoff)::BIGINT AS k, count_if(NOT good AND x > cutoff)::BIGINT AS caught FROM v, (SELECT unnest([0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5])::DOUBLE AS cutoff) GROUP BY ALL),
-a AS (SELECT * FROM c WHERE k < n * 0.01::DOUBLE AND list_sum(list_transform(range(0, k + 1), lambda j: exp((CASE WHEN j = 0 THEN 0 ELSE lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) END) + j * ln(0.01::DOUBLE) + (n - j) * ln(0.99::DOUBLE)))) <= 0.05::DOUBLE / (SELECT count(*) FROM c)),
+a AS (SELECT * FROM c WHERE k < n * 0.005::DOUBLE AND list_sum(list_transform(range(0, k + 1), lambda j: exp((CASE WHEN j = 0 THEN 0 ELSE lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) END) + j * ln(0.005::DOUBLE) + (n - j) * ln(0.995::DOUBLE)))) <= 0.05::DOUBLE / (SELECT count(*) FROM c)),
 m AS (SELECT *, max(caught) OVER (PARTITION BY stratum, signal) AS most FROM a),
-o AS (SELECT stratum, signal, cutoff, row_number() OVER (PARTITION BY stratum, signal ORDER BY k, cutoff DESC) AS best FROM m WHERE most > 0 AND caught >= most * 0.95::DOUBLE),
-f AS (SELECT doc_id, bool_or(CASE signal WHEN 'symbols' THEN symbols WHEN 'capitals' THEN capitals WHEN 'dup_lines' THEN dup_lines ELSE repeats END > cutoff) AS breach FROM s JOIN o ON o.stratum = s.stratum AND best = 1 GROUP BY doc_id)
+o AS (SELECT stratum, signal, cutoff, row_number() OVER (PARTITION BY stratum, signal ORDER BY k, cutoff DESC) AS best FROM m WHERE most > 0 AND caught >= most * 0.98::DOUBLE),
+f AS (SELECT doc_id, bool_or(CASE signal WHEN 'symbols' THEN symbols WHEN 'capitals' THEN capitals WHEN 'dup_lines' THEN dup_lines ELSE runs END > cutoff) AS breach FROM s JOIN o ON o.stratum = s.stratum AND best = 1 GROUP BY doc_id)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(breach, false) AS kept FROM s LEFT JOIN f USING (doc_id)
 """,
     "op8_chat_format": r"""
