@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import table_queries, text_queries  # noqa: F401
+from . import package_queries, table_queries, text_queries  # noqa: F401
 from .common import REGISTRY
 
 QUERIES = {name: q.run for name, q in sorted(REGISTRY.items())}
