@@ -27,8 +27,10 @@ SUFFIX = 5
 PARTS = 2 + len(PREFIXES)
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: Most labelled rows that the classifier is fitted on and calibrated with.
-SAMPLE = 8000
+#: Most labelled rows that the classifier is fitted on and calibrated with, half of them toxic, and most bytes of the text of one: they
+#: are gathered in the driver.
+SAMPLE = 4000
+LONGEST = 1 << 20
 PASS = 0.7
 #: Batches of texts that the classifier is fitted with.
 STEPS = 4000
@@ -216,13 +218,14 @@ def learn(docs: DataFrame, labels: DataFrame, total: int = SAMPLE) -> Network |
     own = labels.where((crc_of("doc_id") % 3 != 1) & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg((F.max("toxic") > 0).cast("int").alias("label_toxic"))
     counts = {r[0]: r[1] for r in own.groupBy("label_toxic").count().collect()}
     chosen = sample(own, "label_toxic", "label_id", total)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))  # at most about ``total`` rows
+    rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))  # at most about ``total`` rows
     part = F.xxhash64("label_id", F.lit(23)) % 5 == 0
     got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label_toxic").alias("toxic"), part.alias("part"), "text").mapInArrow(_tokenised, "doc_id long, toxic int, part boolean, lang long, ids binary").toArrow()
     if not len(got):
         return None
     found = sorted(got.to_pylist(), key=lambda r: (r["doc_id"], r["ids"]))
-    texts = [np.frombuffer(r["ids"], np.uint32).astype(np.int64).reshape(-1, PARTS) for r in found]
+    del got
+    texts = [np.frombuffer(r.pop("ids"), np.uint32).reshape(-1, PARTS) for r in found]
     toxic, langs, kept = (np.array([r[k] for r in found]) for k in ("toxic", "lang", "part"))
     toxic = toxic.astype(float)
     fitted = np.flatnonzero(~kept)
