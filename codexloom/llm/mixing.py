@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import discard, prepare, stored
+from .runtime import discard, free_names, prepare, stored
 
 WEIGHTS = (3, 1, 2)
 #: Words of the mix as a share of all words, and the most copies of a document.
@@ -121,6 +121,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them. Rows of one doc_id are taken alike, as often as the most taken of them."""
-    copies = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").cast("int").alias("mix_copies"))
-    both = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mix_id"]))
-    return both.withColumn("mix_id", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    own, times = free_names(docs, "mix_id", "mix_copies")
+    copies = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").cast("int").alias(times))
+    both = docs.join(copies, docs["doc_id"].eqNullSafe(copies[own]))
+    return both.withColumn(own, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import stored
+from .runtime import free_names, stored
 
 BLANK = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -43,21 +43,10 @@ def _covered(h: Column) -> Column:
     return F.aggregate(_let(at, steps), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def _free(df: DataFrame, *names: str) -> list[str]:
-    """The names, lengthened until no column of ``df`` has them."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name in taken:
-            name += "_"
-        out.append(name)
-    return out
-
-
 def with_signals(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
     """``docs`` with one struct column more, and that column's name: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words (long), the share of each signal (double) and base_failed (boolean)."""
-    text, words, lines, h, runs, name = _free(docs, "q_text", "q_words", "q_lines", "q_hash", "q_runs", "quality")
+    text, words, lines, h, runs, name = free_names(docs, "q_text", "q_words", "q_lines", "q_hash", "q_runs", "quality")
     keep = docs.columns
     df = docs.select("*", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
     df = df.select("*", F.filter(F.split(text, BLANK), lambda w: w != "").alias(words), F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))).alias(lines))
@@ -115,19 +104,20 @@ def cutoffs(signals: DataFrame, labels: DataFrame, id_col: str, stratum_col: str
     return best.groupBy("stratum").agg(*(F.max(F.when(F.col("signal") == s, -F.col("c"))).alias(s) for s in SIGNALS))
 
 
-def judged(signals: DataFrame, labels: DataFrame, name: str, id_col: str = "doc_id", stratum_col: str = "lang") -> DataFrame:
-    """``signals`` with a column ``q_kept``: false if a fixed rule or a stratum's cutoff rejects the row.
+def judged(signals: DataFrame, labels: DataFrame, name: str, id_col: str = "doc_id", stratum_col: str = "lang") -> tuple[DataFrame, str]:
+    """``signals`` with one column more, and its name: false if a fixed rule or a stratum's cutoff rejects the row.
 
     ``labels``: doc_id, quality. Strata are the values of ``stratum_col``, null as ``und``; where labels are too few nothing is
     rejected beyond the fixed rules. Null and empty texts have no words and fail them. Repeated rows are judged alike.
     """
+    stratum, cutoff, kept = free_names(signals, "q_stratum", "q_limits", "q_kept")
     limits = cutoffs(signals, labels, id_col, stratum_col, name)
-    limits = stored(limits.select(F.col("stratum").alias("q_stratum"), F.struct(*SIGNALS).alias("q_limits")), "limits")
-    df = signals.join(limits, F.coalesce(F.col(f"`{stratum_col}`"), F.lit("und")) == F.col("q_stratum"), "left")
+    limits = stored(limits.select(F.col("stratum").alias(stratum), F.struct(*SIGNALS).alias(cutoff)), "limits")
+    df = signals.join(limits, F.coalesce(F.col(f"`{stratum_col}`"), F.lit("und")) == F.col(stratum), "left")
     breach = F.col(f"{name}.base_failed")
     for s in SIGNALS:
-        breach = breach | F.coalesce(F.col(f"{name}.{s}") > F.col("q_limits")[s], F.lit(False))
-    return df.select(*(F.col(f"`{c}`") for c in signals.columns), (~breach).alias("q_kept"))
+        breach = breach | F.coalesce(F.col(f"{name}.{s}") > F.col(cutoff)[s], F.lit(False))
+    return df.select(*(F.col(f"`{c}`") for c in signals.columns), (~breach).alias(kept)), kept
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -135,10 +125,12 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     signals, name = with_signals(docs.select("doc_id", "text", "lang"))
     signals = stored(signals.drop("text"), "signals")
     fields = [F.col(f"{name}.{x}") for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
-    return judged(signals, labels, name).select("doc_id", *fields, F.col("q_kept").alias("kept"))
+    out, kept = judged(signals, labels, name)
+    return out.select("doc_id", *fields, F.col(kept).alias("kept"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns."""
     signals, name = with_signals(docs)
-    return judged(stored(signals, "signals"), labels, name).where("q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    out, kept = judged(stored(signals, "signals"), labels, name)
+    return out.where(F.col(kept)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -66,3 +66,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame made by :func:`stored`."""
     drop_table(df.sparkSession, df._stored_at)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
