@@ -1,7 +1,7 @@
 """Personal data: patterns, and a linear-chain conditional random field over word-shape features.
 
 The patterns find emails, IP addresses, card numbers and phone numbers. The field adds names after a cue, spelled-out addresses
-("anna at mail dot com") and secrets: it is trained on a small labelled table by exact gradients, and decodes each line of a text by
+("anna at mail dot com"), secrets, and card and phone numbers that the patterns lose because other numbers stand beside them: it is trained on a small labelled table by exact gradients, and decodes each line of a text by
 Viterbi in numpy batches. A line in which the outside label leads everywhere by more than transitions can repay needs no decoding:
 its best path is known.
 """
@@ -22,7 +22,7 @@ from .bytegrid import Words, buffers, slices, words
 from .runtime import prepare
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("name", "contact", "secret")
+ADDED = ("name", "contact", "secret", "number")
 KINDS = BASE + ADDED
 
 # ---- patterns ----------------------------------------------------------------------------------------------------
@@ -110,7 +110,17 @@ of%%% the*** erntwh.%%% thntatwh&&& ndreea$$$ an%%% as###
 ofand | erheed | thstre | atheth | thhees | oranti
 Paris, Lyon and Berlin are at the end of the road.
 Chapter 12 of the book is at page 345, in 1998 and later.
-The order 4785380592391139 was sent at 10.30 on Monday.
+The order 47853 was sent at 10.30 on Monday.
+call [number +1 (487) 555-7209 4736962573099581] now
+is [number +1 (269) 555-3296 4524132264652876] and the
+on [number +1 (855) 555-4208 4866351201689520] hation, is
+was 97.51.17.173 [number 4880761348116108] the end
+the [number 4451718024887799] 27.65.93.14 of it
+of 38.253.197.126 [number 4880761348116108]
+The card [number 4012888888881881] and the
+[number +44 20 7946 0958] is the line
+[number 4929348385146306] of it [number 4952935900253052]
+it was [number +1 (017) 555-7713] then
 He was at the dot of the line and at rest.
 It is the key of the door and the name of the rose.
 The name of it is old. A token of the past was in it.
@@ -119,12 +129,12 @@ Copyright 2019 The Authors. All rights reserved.
 the code 4a7f9b2c of the part is short
 A contact of the two was made at once, and a secret was kept.
 They write to the world at large. Please write soon.
-### 4785380592391139$$$ de,&&& token ring&&& 152.143.123.131
+### [number 4785380592391139$$$] de,&&& token ring&&& 152.143.123.131
 Mr and Mrs of the house. Doctor and nurse.
 Dear Sir, the key is under the mat.
 www.example.com/index.html is at the top
 34@mail7.example.com at the end of it
-+1 (487) 555-7209 is at hand, 97.51.17.173 as well
+[number +1 (487) 555-7209] is at hand, 97.51.17.173 as well
 with is ereren is. The. Thingon of the hation was.
 tiwhed to. And. Anhend is ofthe. Onea to. Is. Aneaes and
 this is to. Nthe. Blely to the end. To. The road is. Onornd
@@ -242,7 +252,7 @@ def _table_rows(lines: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     for line in lines:
         text, labels, now = [], [], 0
         for word in line.split():
-            opened = re.match(r"\[(name|contact|secret)$", word)
+            opened = re.match(rf"\[({'|'.join(ADDED)})$", word)
             if opened:
                 now = _LABELS.index(opened[1])
                 continue
@@ -342,8 +352,8 @@ class Finder:
         self.table, self.moves = table, moves
         self.margin = 2 * float(moves.max() - moves.min())
 
-    def _labelled(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, label, first byte, byte after the last) of each run of words that the field labels."""
+    def _labelled(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """(text, label, byte ranges of the words) of each run of words that the field labels."""
         w = words(data, offsets, folded=True)
         n = len(w.start)
         if not n:
@@ -367,32 +377,49 @@ class Finder:
             return
         cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(labels[at]) != 0) | new[at[1:]]) + 1
         for run in np.split(at, cut):
-            a, b = int(w.start[run[0]]), int(w.end[run[-1]])
-            yield int(np.searchsorted(offsets, a, "right")) - 1, int(labels[run[0]]), a, b
+            a = int(w.start[run[0]])
+            yield int(np.searchsorted(offsets, a, "right")) - 1, int(labels[run[0]]), list(zip(w.start[run].tolist(), w.end[run].tolist(), strict=True))
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[str, list, list]]:
-        """Of each text: itself, its base spans and its added spans, which overlap no other."""
+        """Of each text: itself, its base spans and its added spans, which overlap no other: words of a run on base spans are left out."""
         texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         base = [base_spans(t) for t in texts]
         added: list[list] = [[] for _ in texts]
         for i, j in slices(offsets):
             a, b = int(offsets[i]), int(offsets[j])
-            for k, label, x, y in self._labelled(data[a:b], offsets[i : j + 1] - a):
+            for k, label, run in self._labelled(data[a:b], offsets[i : j + 1] - a):
                 k += i
-                raw = data[a + x : a + y].tobytes()
-                head = len(raw) - len(raw.lstrip(b"\"'([:="))
-                tail = len(raw) - len(raw.rstrip(b"\"')].,;:!?#$%&*|"))
-                if head + tail >= len(raw):
-                    continue
-                start = len(data[offsets[k] : a + x + head].tobytes().decode())
-                end = start + len(raw[head : len(raw) - tail].decode())
-                if not any(s < end and start < e for _, s, e in base[k]):
-                    added[k].append((_LABELS[label], start, end))
+                shift = len(data[offsets[k] : a + run[0][0]].tobytes().decode())
+                free: list[list[tuple[int, int]]] = [[]]
+                for x, y in run:  # bytes to code points, counted on from the run's first byte
+                    x, y = (shift + len(data[a + run[0][0] : a + z].tobytes().decode()) for z in (x, y))
+                    if any(s < y and x < e for _, s, e in base[k]):
+                        free.append([])
+                    else:
+                        free[-1].append((x, y))
+                for part in filter(None, free):
+                    span = _tidied(_LABELS[label], texts[k], part[0][0], part[-1][1])
+                    if span:
+                        added[k].append(span)
         for spans in added:
             spans.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
         return list(zip(texts, base, added, strict=True))
 
 
+def _tidied(kind: str, text: str, start: int, end: int) -> tuple[str, int, int] | None:
+    """The span without marks around it; None if nothing is left, or for numbers if neither a card nor a phone can be in it."""
+    piece = text[start:end]
+    start += len(piece) - len(piece.lstrip("\"'([:=") if kind != "number" else piece.lstrip("\"'[:="))
+    end -= len(piece) - len(piece.rstrip("\"')].,;:!?#$%&*|"))
+    if start >= end:
+        return None
+    if kind == "number":
+        digits = [re.sub("[^0-9]", "", w) for w in text[start:end].split()]
+        if not any(13 <= len(d) <= 19 and _luhn(d) for d in digits) and not (text[start] == "+" and 9 <= sum(map(len, digits)) <= 15):
+            return None
+    return kind, start, end
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -435,7 +462,7 @@ def _found(table: np.ndarray, moves: np.ndarray, redacted: bool):
 def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of each row's whole text.
 
-    The counts and the digest are of the patterns' spans; ``spans`` has the field's (name, contact, secret) after them. A null or
+    The counts and the digest are of the patterns' spans; ``spans`` has the field's (name, contact, secret, number) after them. A null or
     empty text has none. Repeated rows give equal rows. An empty table gives no rows; other columns aren't read.
     """
     prepare(docs.sparkSession)

@@ -150,6 +150,18 @@ def test_pii_rows(spark, texts):
     assert sum(not got[i].n_email and any(k in got[i].spans for k in ("name", "contact")) for i in range(3, len(rows))) <= 1
 
 
+def test_numbers_beside_numbers_are_found():
+    import pyarrow as pa
+
+    from codexloom.llm.bytegrid import buffers
+
+    lines = ["so is +1 (269) 555-3296 4524132264652876 and", "é was 38.253.197.126 4880761348116108\nend", "the 4451718024887799 27.65.93.14 of", "page 345 of 1998 and 47853"]
+    found = pii.Finder(*pii.model()).find(*buffers(pa.array(lines)))
+    left = [re.sub("<[A-Z]+>", "", pii.redact(t, base + more)) for t, base, more in found]
+    assert not any(re.search("[0-9]{4}", x) for x in left[:3]) and not found[3][2]
+    assert all(not (s < e2 and s2 < e) for _, base, more in found for _, s, e in more for _, s2, e2 in base)
+
+
 def test_redaction_keeps_columns(spark):
     df = spark.createDataFrame([(1, "x a@b.co y", 10, "p"), (2, None, None, "q"), (3, "", 0, "r")], "doc_id long, text string, n_chars long, c0 string")
     got = {r.doc_id: r for r in pii.redacted(df).collect()}
