@@ -27,7 +27,7 @@ SPAN = 16
 MEAN_CHUNK = 512
 #: Chunks and words kept for reuse in one task.
 STORE_CHUNKS = 20_000
-STORE_WORDS = 150_000
+STORE_WORDS = 400_000
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
