@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import integrity, ledger, rendering, structure
+from ..operators import integrity, ledger, passages, rendering, structure
 from ..sources import html
 from .common import BLOCKS_SQL, EVIDENCE_SQL, LINES_SQL, PARAGRAPHS_SQL, query, table, values
 
@@ -194,20 +194,8 @@ def q46_package_names(spark, sf_dir):
     "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"
 )
 def q49_contains_evidence(spark, sf_dir):
-    """Passages found in documents: candidates share a rare-enough window of words, then the text itself is searched."""
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    # a passage that occurs holds, from its second word to its last but one, the document's own words
-    size = 4
-    words = lambda c: F.split(c, r"\s+")
-    inner = items.select("item_id", "passage", words(F.col("passage")).alias("w")).withColumn("key", F.when(F.size("w") >= size + 2, F.array_join(F.slice("w", 2, size), " ")))
-    windows = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= size).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, size), " ")))).alias("key"))
-    met = windows.join(inner.where("key is not null").select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    long = met.join(docs, "doc_id").join(items, "item_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
-    short = inner.where("key is null").select("item_id", "passage")
-    if short.isEmpty():
-        return long
-    # passages too short for a window are a stated query set against all rows
-    return long.unionByName(docs.join(short, F.contains("text", "passage")).select("doc_id", "item_id"))
+    return passages.contained(docs, items)
 
 
 @query(f"SELECT doc_id, count(*)::BIGINT AS n_pieces, string_agg(text, chr(10) ORDER BY ordinal) = any_value(whole) AS reversible FROM (SELECT l.*, d.text AS whole FROM ({LINES_SQL}) l JOIN documents d USING (doc_id)) GROUP BY doc_id")

@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from codexloom.functions import geometry, ids, text
-from codexloom.operators import decisions, edits, graph, integrity, ledger, ocr, packages, publishing, rendering, spatial, structure
+from codexloom.operators import decisions, edits, graph, integrity, ledger, ocr, packages, passages, publishing, rendering, spatial, structure
 from codexloom.plans import gates
 
 
@@ -186,3 +186,10 @@ def test_packages(spark):
 def test_tree(spark):
     rows = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "own string, source string")
     assert {r.own: r.origin for r in graph.follow_derivation(rows, "own", "source").collect()} == {"a": "a", "b": "a", "c": "a"}
+
+
+def test_passages(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps over it"), (2, "a quick  brown fox jumps over"), (3, "ab"), (4, None)], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "quick brown fox jumps over it"), (2, "k brown fox jumps over i"), (3, "b"), (4, "he quick brown fox jumps ov"), (5, "absent words in a row here")], "item_id int, passage string")
+    want = {(d, i) for d, t in ((r.doc_id, r.text) for r in docs.collect()) for i, p in ((r.item_id, r.passage) for r in items.collect()) if t and p in t}
+    assert {(r.doc_id, r.item_id) for r in passages.contained(docs, items).collect()} == want and want
