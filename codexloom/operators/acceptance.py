@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from . import decisions, graph, integrity, publishing
+from . import decisions, graph, integrity, ordering, publishing
 
 Tables = dict[str, DataFrame]
 ALL, STRICT = ("hint", "review", "citation"), ("citation",)
@@ -119,12 +119,9 @@ CHECKS: list[tuple[str, Callable[[Tables], DataFrame], tuple[str, ...]]] = [
 
 def evaluate(tables: Tables, target: str, names: tuple[str, ...] | None = None) -> DataFrame:
     """check_id, passed, n_observed and observed (at most 100 values, sorted) of the checks that a target asks for, or of those named."""
-    rows = []
-    for name, failing, targets in CHECKS:
-        if target in targets and (names is None or name in names):
-            found = failing(tables).agg(F.count("*").alias("n_observed"), integrity.observed(F.col("v")).alias("observed"))
-            rows.append(found.select(F.lit(name).alias("check_id"), (F.col("n_observed") == 0).alias("passed"), "n_observed", "observed"))
-    return reduce(DataFrame.unionByName, rows)
+    parts = [ordering.report_row(name, failing(tables)) for name, failing, targets in CHECKS if target in targets and (names is None or name in names)]
+    counted, first = (reduce(DataFrame.unionByName, side) for side in zip(*parts, strict=True))
+    return counted.join(first, "check_id").select("check_id", (F.col("n_observed") == 0).alias("passed"), "n_observed", "observed")
 
 
 def verdict(tables: Tables, target: str) -> DataFrame:

@@ -89,11 +89,6 @@ def is_permutation(order: Column) -> Column:
     return (F.size(F.array_distinct(order)) == F.size(order)) & (F.array_max(order) - F.array_min(order) + 1 == F.size(order))
 
 
-def observed(values: Column, most: int = 100) -> Column:
-    """A report's sample of the values found, sorted and bounded: an aggregate."""
-    return F.slice(F.sort_array(F.collect_set(values.cast("string"))), 1, most)
-
-
 def check(check_id: str, failing: DataFrame, value: Column) -> DataFrame:
     """A report row: check_id, passed, n_observed and the least value observed."""
     return failing.agg(F.count("*").alias("n_observed"), F.min(value.cast("string")).alias("first_observed")).select(F.lit(check_id).alias("check_id"), (F.col("n_observed") == 0).alias("passed"), "n_observed", "first_observed")

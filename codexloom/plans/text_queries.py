@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import integrity, ledger, passages, rendering, structure
+from ..operators import integrity, ledger, ordering, passages, rendering, structure
 from ..sources import html
 from .common import BLOCKS_SQL, EVIDENCE_SQL, LINES_SQL, PARAGRAPHS_SQL, query, table, values
 
@@ -55,7 +55,7 @@ ODD_TITLES = [(-1, "Part II The road"), (-2, "Title Page"), (-3, "第二部 归
     rf"""WITH t AS (SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS title FROM pages UNION ALL SELECT p, t FROM {values(ODD_TITLES, "p, t")}),
 f AS (SELECT page_id, title, row_number() OVER (PARTITION BY lower(title) ORDER BY page_id) AS k FROM t WHERE title <> ''),
 o AS (SELECT *, row_number() OVER (ORDER BY page_id) AS ord FROM f WHERE k = 1)
-SELECT 'toc_' || CASE WHEN ord < 1000 THEN lpad(ord::VARCHAR, 3, '0') ELSE substr(ord::VARCHAR, 1, 3) END AS toc_id, ord::INT AS "order", title, regexp_replace(title, '^[0-9]+\.\s*', '') AS normalized_title, {_SECTION_SQL} AS section_type, lead(title) OVER (ORDER BY page_id) AS expected_end_before, least(0.75, 0.95)::DOUBLE AS confidence FROM o"""
+SELECT 'toc_' || CASE WHEN ord < 1000 THEN lpad(ord::VARCHAR, 3, '0') ELSE ord::VARCHAR END AS toc_id, ord AS "order", title, regexp_replace(title, '^[0-9]+\.\s*', '') AS normalized_title, {_SECTION_SQL} AS section_type, lead(title) OVER (ORDER BY page_id) AS expected_end_before, least(0.75, 0.95)::DOUBLE AS confidence FROM o"""
 )
 def q05_section_types(spark, sf_dir):
     heads = table(spark, sf_dir, "pages").select(F.col("page_id").alias("place"), F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("title"))
@@ -129,8 +129,11 @@ def q17_secrets(spark, sf_dir):
 
 @query("SELECT lang, count(*) AS n, sum(strlen(text))::BIGINT AS n_bytes, sha256(string_agg(line, chr(10) ORDER BY line)) AS root FROM (SELECT lang, text, doc_id || ':' || sha256(text) AS line FROM documents) GROUP BY lang")
 def q18_artifact_root(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
     line = F.concat_ws(":", F.col("doc_id").cast("string"), ids.sha256(F.col("text")))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("n_bytes"), ids.set_digest(line).alias("root"))
+    sizes = docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n_bytes"))
+    roots = ordering.root_digest(docs, F.col("lang"), line)
+    return roots.join(sizes, F.col("group_").eqNullSafe(F.col("lang"))).select("lang", "n", "n_bytes", F.col("digest").alias("root"))
 
 
 ODD_MARKDOWN = [(-1, 1, "# of Shots"), (-1, 2, "#### = padding"), (-1, 3, "   ---"), (-1, 4, "====="), (-1, 5, "***"), (-1, 6, "#hash"), (-1, 7, "-- -"), (-1, 8, "    # code"), (-1, 9, "____  "), (-1, 10, "####### seven")]

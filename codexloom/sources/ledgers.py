@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import text
+from ..operators.ordering import root_digest
 
 #: Formats by the lower-case suffix of a path.
 FORMATS = {
@@ -59,8 +60,8 @@ def read_recognised(spark: SparkSession, path: str) -> DataFrame:
     box = F.forall("bbox", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     located = F.coalesce("page_id", "page_anchor", F.col("page").cast("string")).isNotNull()
     rows = rows.where(located & (F.size("bbox") == 4) & box & (F.col("page").isNull() | (F.col("page") >= 1)))
-    one = rows.agg(F.when(F.count_distinct("engine") == 1, F.max("engine")).alias("only_engine"))
-    return rows.join(F.broadcast(one)).withColumn("engine", F.coalesce("engine", "only_engine")).drop("only_engine")  # one row
+    only = rows.agg(F.when(F.count_distinct("engine") == 1, F.max("engine"))).first()[0]
+    return rows.withColumn("engine", F.coalesce("engine", F.lit(only).cast("string")))
 
 
 def of_page(rows: DataFrame, page_id: str, anchor: str | None, number: int | None) -> DataFrame:
@@ -96,7 +97,8 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
 def tree_digest(files: DataFrame) -> DataFrame:
     """n, bytes and a digest of a folder's files (path, content) that doesn't depend on their order."""
     line = F.concat(F.col("path"), F.lit(":"), F.sha2("content", 256))
-    return files.agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"))
+    size = files.groupBy(F.lit("all").alias("group_")).agg(F.sum(F.octet_length("content")).alias("bytes"))
+    return root_digest(files, F.lit("all"), line).join(size, "group_").select("n", "bytes", "digest")
 
 
 def attested(files: DataFrame, expected: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from codexloom.functions import geometry, ids, text
-from codexloom.operators import decisions, edits, graph, integrity, ledger, ocr, packages, passages, publishing, rendering, spatial, structure
+from codexloom.operators import decisions, edits, graph, integrity, ledger, ocr, ordering, packages, passages, publishing, rendering, spatial, structure
 from codexloom.plans import gates
 
 
@@ -193,3 +193,12 @@ def test_passages(spark):
     items = spark.createDataFrame([(1, "quick brown fox jumps over it"), (2, "k brown fox jumps over i"), (3, "b"), (4, "he quick brown fox jumps ov"), (5, "absent words in a row here")], "item_id int, passage string")
     want = {(d, i) for d, t in ((r.doc_id, r.text) for r in docs.collect()) for i, p in ((r.item_id, r.passage) for r in items.collect()) if t and p in t}
     assert {(r.doc_id, r.item_id) for r in passages.contained(docs, items).collect()} == want and want
+
+
+def test_numbers_and_digests_of_a_whole_table(spark):
+    rows = spark.createDataFrame([(i * 7 % 101, f"v{i * 7 % 101}") for i in range(101)], "k int, v string").repartition(5)
+    out = ordering.with_next(ordering.numbered(rows, ["k"], "place"), "place", "v", "next").collect()
+    assert all(r.place == r.k + 1 and r.next == (f"v{r.k + 1}" if r.k < 100 else None) for r in out) and len(out) == 101
+    groups = rows.withColumn("g", F.when(F.col("k") % 3 > 0, F.col("k") % 3))
+    got = {r.group_: (r.n, r.digest) for r in ordering.root_digest(groups, F.col("g"), F.col("v")).collect()}
+    assert got == {g: (len(x), sha("\n".join(x))) for g, x in ((g, sorted(f"v{i}" for i in range(101) if i % 3 == k)) for g, k in ((None, 0), ("1", 1), ("2", 2)))}
