@@ -46,13 +46,15 @@ def q20_hint_vs_citation(spark, sf_dir):
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def q21_latest_decision(spark, sf_dir):
-    return decisions.latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+    log = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    return decisions.latest(log, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1 AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def q22_active_set(spark, sf_dir):
     live = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
-    return decisions.active(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], live, "user_id").select("user_id", "event_type", "event_id")
+    log = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    return decisions.active(log, ["user_id", "event_type"], ["ts", "event_id"], live, "user_id").select("user_id", "event_type", "event_id")
 
 
 _CHAIN_SQL = """WITH e AS (SELECT user_id, event_id, ts, event_type AS content, coalesce(lag(event_id) OVER w, -1) AS p, lag(event_type) OVER w AS pc, lag(event_id, 2) OVER w AS pp FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -147,7 +149,9 @@ def q34_table_markdown(spark, sf_dir):
     regions = nations.select("n_regionkey", "r_name").distinct()
     cells = cell(counts.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(segments, "c_mktsegment"), F.col("row"), F.col("column"), F.col("text"), "td")
     cells = cells.unionByName(cell(nations, F.col("row"), F.lit(0), F.col("n_name"), "td")).unionByName(cell(regions, F.lit(0), F.lit(0), F.lit("nation"), "th"))
-    cells = cells.unionByName(cell(regions.join(F.broadcast(segments)), F.lit(0), F.col("column"), F.col("c_mktsegment"), "th"))
+    names = segments.agg(F.collect_list(F.struct("column", "c_mktsegment")).alias("names")).withColumn("one", F.lit(1))
+    heads = regions.withColumn("one", F.lit(1)).join(names, "one").select("n_regionkey", "r_name", F.inline("names"))
+    cells = cells.unionByName(cell(heads, F.lit(0), F.col("column"), F.col("c_mktsegment"), "th"))
     return rendering.table_markdown(cells)
 
 
