@@ -25,6 +25,8 @@ from .runtime import prepare
 #: Bytes that the rolling hash sees, and the mean distance of cuts (a power of two).
 SPAN = 16
 MEAN_CHUNK = 512
+#: Bytes of text encoded at once.
+TEXTS_BYTES = 2 << 20
 #: Chunks and words kept for reuse in one task.
 STORE_CHUNKS = 20_000
 STORE_WORDS = 400_000
@@ -149,7 +151,7 @@ def _encoded(path: str, full: bool):
         for batch in batches:
             data, offsets = buffers(batch.column(batch.num_columns - 1))
             rest, names = batch.columns[:-1], batch.schema.names[:-1]
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, TEXTS_BYTES):
                 found = encoder.encode([data[a:b].tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)])
                 own = [x.slice(i, j - i) for x in rest]
                 if full:

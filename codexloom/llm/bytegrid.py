@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes in one Arrow batch handed to Python; bounds a worker's memory whatever the row size.
 BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
