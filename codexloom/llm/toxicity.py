@@ -27,10 +27,13 @@ SUFFIX = 5
 PARTS = 2 + len(PREFIXES)
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: Most labelled rows that the classifier is fitted on and calibrated with, half of them toxic, and most bytes of the text of one: they
-#: are gathered in the driver.
+#: Most labelled rows that the classifier is fitted on, half of them toxic, and most bytes of the text of one: they are gathered in
+#: the driver. Thresholds come from all rows.
 SAMPLE = 4000
 LONGEST = 1 << 20
+#: Bins of a unit of the logit, and the highest logit with a bin of its own, for the counts that thresholds come from.
+BINS = 256
+HIGHEST = 500
 PASS = 0.7
 #: Batches of texts that the classifier is fitted with.
 STEPS = 4000
@@ -176,32 +179,50 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, steps: int = STEPS, batch: i
     return net
 
 
-def calibrate(net: Network, texts: list[np.ndarray], toxic: np.ndarray, langs: np.ndarray, weight: np.ndarray) -> None:
-    """Set each language's threshold, and the common one where its positives are too few: the cut of the best F1, each text with
-    its weight, in the middle of the gap to the next lower text."""
-    tables = net.tables()
-    first = np.append(0, np.cumsum([len(t) for t in texts]))
-    logits = net.logits(np.concatenate([_NO_WORDS, *texts]), first, tables)
+def calibrate(net: Network, bins: np.ndarray, langs: np.ndarray, toxic: np.ndarray, count: np.ndarray) -> None:
+    """Set each language's threshold, and the common one where its positives are too few, from the number of rows in each bin of the
+    logit: the cut of the best F1, in the middle of the gap to the next lower bin with rows."""
+    hits = count * toxic
 
     def cut(at: np.ndarray) -> float:
-        order = at[np.argsort(-logits[at], kind="stable")]
-        good, w = toxic[order], weight[order]
-        hits = np.cumsum(good * w)
-        f1 = 2 * hits / (np.cumsum(w) + (good * w).sum())
+        falling, place = np.unique(-bins[at], return_inverse=True)
+        found = np.cumsum(np.bincount(place, hits[at]))
+        f1 = 2 * found / (np.cumsum(np.bincount(place, count[at])) + found[-1])
         k = int(f1.argmax())
-        below = logits[order[k + 1]] if k + 1 < len(order) else logits[order[k]] - 2
-        return float(logits[order[k]] + below) / 2
+        below = 1 - falling[k + 1] if k + 1 < len(falling) else -falling[k] - 2 * BINS
+        return float(below - falling[k]) / 2 / BINS
 
-    if not toxic.any():
-        net.thresholds[:] = logits.max(initial=0.0) + 5
+    if not hits.any():
+        net.thresholds[:] = bins.max(initial=0) / BINS + 5
         return
-    net.thresholds[:] = cut(np.arange(len(texts)))
+    net.thresholds[:] = cut(np.arange(len(bins)))
     for k in range(len(_LANGS)):
         at = np.flatnonzero(langs == k)
-        if toxic[at].sum() >= FEWEST:
+        if hits[at].sum() >= FEWEST:
             net.thresholds[k] = cut(at)
 
 
+def _logits(net: Network, tables: list[list[np.ndarray]], column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The logit and the guessed language of each text."""
+    logit, lang = np.zeros(len(column)), np.zeros(len(column), np.int64)
+    data, offsets = buffers(column)
+    for i, j in slices(offsets):
+        ids, first, lang[i:j] = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        logit[i:j] = net.logits(ids, first, tables)
+    return logit, lang
+
+
+def _binned(net: Network):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = net.tables()
+        for batch in batches:
+            logit, lang = _logits(net, tables, batch.column(1))
+            bins = np.floor(np.clip(logit, -HIGHEST, HIGHEST) * BINS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(bins)], names=["doc_id", "lang", "bin"])
+
+    return run
+
+
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, first, langs = tokens(*buffers(batch.column(3)))
@@ -210,13 +231,13 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, total: int = SAMPLE) -> Network | None:
-    """A network from a sample of the labelled rows whose crc32(doc_id) mod 3 isn't 1, a fifth of it kept for the thresholds.
+    """A network from a sample of the labelled rows whose crc32(doc_id) mod 3 isn't 1, a fifth of it left out of the fit, with
+    thresholds from all those rows.
 
     A document labelled both ways counts as toxic. None without a labelled text.
     """
     prepare(docs.sparkSession)
     own = labels.where((crc_of("doc_id") % 3 != 1) & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg((F.max("toxic") > 0).cast("int").alias("label_toxic"))
-    counts = {r[0]: r[1] for r in own.groupBy("label_toxic").count().collect()}
     chosen = sample(own, "label_toxic", "label_id", total)
     rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))  # at most about ``total`` rows
     part = F.xxhash64("label_id", F.lit(23)) % 5 == 0
@@ -226,14 +247,14 @@ def learn(docs: DataFrame, labels: DataFrame, total: int = SAMPLE) -> Network |
     found = sorted(got.to_pylist(), key=lambda r: (r["doc_id"], r["ids"]))
     del got
     texts = [np.frombuffer(r.pop("ids"), np.uint32).reshape(-1, PARTS) for r in found]
-    toxic, langs, kept = (np.array([r[k] for r in found]) for k in ("toxic", "lang", "part"))
-    toxic = toxic.astype(float)
+    toxic, kept = (np.array([r[k] for r in found]) for k in ("toxic", "part"))
     fitted = np.flatnonzero(~kept)
-    net = fit([texts[i] for i in fitted], toxic[fitted])
-    at = np.flatnonzero(kept) if toxic[kept].any() else np.arange(len(texts))
-    chosen_counts = {k: max(1, int((toxic == k).sum())) for k in (0, 1)}
-    weight = np.array([counts.get(int(t), 1) / chosen_counts[int(t)] for t in toxic])
-    calibrate(net, [texts[i] for i in at], toxic[at], langs[at], weight[at])
+    net = fit([texts[i] for i in fitted], toxic[fitted].astype(float))
+    del found, texts
+    rows = docs.where(crc_of("doc_id") % 3 != 1).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bins = rows.mapInArrow(_binned(net), "doc_id long, lang long, bin long").groupBy("doc_id", "lang", "bin").agg(F.count("*").alias("n"))
+    counts = bins.join(own, F.col("doc_id") == F.col("label_id")).groupBy("bin", "lang", F.col("label_toxic").alias("toxic")).agg(F.sum("n").alias("n")).toArrow()
+    calibrate(net, *(counts.column(k).to_numpy() for k in ("bin", "lang", "toxic", "n")))
     return net
 
 
@@ -241,12 +262,7 @@ def _scored(net: Network | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            data, offsets = buffers(batch.column(2))
-            for i, j in slices(offsets):
-                if net is not None:
-                    ids, first, langs = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    score[i:j] = net.scores(net.logits(ids, first, tables), langs)
+            score = net.scores(*_logits(net, tables, batch.column(2))) if net else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= PASS).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run

@@ -193,3 +193,40 @@ def test_toxicity(spark):
     assert all(x.predicted == int(x.score >= 0.7) and 0 <= x.score <= 1 for x in got.values()) and len(got) == len(rows)
     empty = toxicity.toxicity_report(docs, spark.createDataFrame([], LABELS)).collect()
     assert all(x.score == 0 and x.predicted == 0 for x in empty)
+
+
+def test_toxicity_thresholds_cover_all_rows(spark):
+    """A language whose positives are too few in the sample has its own threshold, of the best F1 over all learnable rows, with one
+    positive in a text of over 1 MiB."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("aeioulmnrst") for _ in range(r.randint(2, 8)))
+    rows, labels = [], []
+    for i in range(2400):
+        es, bad = i % 8 == 0, i % 2 == 0 if i % 8 else i % 5 == 0
+        w = [word() for _ in range(r.randint(10, 40))] + (["el", "los", "las"] if es else ["the", "of", "and"])
+        if bad and r.random() < (0.6 if es else 0.95):
+            w[r.randrange(10)] = "grumb" + word()
+        rows.append((i, " ".join(w), "x", "s", 0))
+        labels.append((i, 1, int(bad)))
+    rows += [(3000, "el los las grumbol " + "una " * 300000, "x", "s", 0)]  # 3000: learnable, as crc32 says
+    labels += [(3000, 1, 1)]
+    assert zlib.crc32(b"3000") % 3 != 1
+    docs = spark.createDataFrame(rows, DOCS)
+    net = toxicity.learn(docs, spark.createDataFrame(labels, LABELS), 300)
+    y = {i: t for i, _, t in labels}
+    tables, es = net.tables(), toxicity._LANGS.index("es")
+    own = []
+    for i, text, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            raw = text.encode()
+            ids, first, langs = toxicity.tokens(toxicity.np.frombuffer(raw, toxicity.np.uint8), toxicity.np.array([0, len(raw)]))
+            own.append((float(net.logits(ids, first, tables)[0]), y[i], langs[0]))
+
+    def f1(cut, some):
+        return 2 * sum(t for z, t, _ in some if z >= cut) / (sum(z >= cut for z, _, _ in some) + sum(t for _, t, _ in some))
+
+    mine = [x for x in own if x[2] == es]
+    assert toxicity.FEWEST <= sum(t for _, t, _ in mine) < 5 * toxicity.FEWEST
+    for cut, some in ((net.thresholds[es], mine), (net.thresholds[0], own)):
+        assert f1(cut, some) >= max(f1(math.floor(z * toxicity.BINS) / toxicity.BINS, some) for z, _, _ in some) - 1e-3
+    assert net.thresholds[es] != net.thresholds[0]
