@@ -277,3 +277,21 @@ def q57_path_at(spark, sf_dir):
     paths = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.lit(1).alias("page_id"), F.array(F.col("n_nationkey")).alias("dom_path"), F.col("n_name").alias("path"))
     placed = structure.path_at(paths, points).select(F.col("id").cast("long").alias("o_orderkey"), "path")
     return orders.select("o_custkey", "o_orderkey").join(placed, "o_orderkey").select("o_custkey", "o_orderkey", "path")
+
+
+@query(None)
+def q70_all_components(spark, sf_dir):
+    """q51 over all of lineitem: 8 orders a page, so that pages grow with the table; boxes of one id are one node, as there."""
+    x, y, w = F.col("l_quantity") * 12, (F.col("l_partkey") % 400).cast("double"), 20 + F.col("l_discount") * 200
+    boxes = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 8).alias("page_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array(x, y, x + w, y + 15).alias("box"))
+    return spatial.overlap_groups(boxes)
+
+
+@query(None)
+def q71_all_paths_at(spark, sf_dir):
+    """q57 over all orders: a page a customer, each with all paths, so that pages grow with the table."""
+    orders = table(spark, sf_dir, "orders")
+    points = orders.select(F.col("o_custkey").alias("page_id"), F.array((F.col("o_orderkey") % 40).cast("int")).alias("dom_path"), F.col("o_orderkey").alias("id"))
+    nations = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.array(F.col("n_nationkey").cast("int")).alias("dom_path"), F.col("n_name").alias("path"))
+    paths = orders.select(F.col("o_custkey").alias("page_id")).distinct().crossJoin(nations)
+    return structure.path_at(paths, points).select(F.col("page_id").alias("o_custkey"), F.col("id").cast("long").alias("o_orderkey"), "path")
