@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text
 from . import ordering
 
-DEEPEST = 8
-
 
 def heading_emission(rows: DataFrame, path: str, order: list[str]) -> DataFrame:
     """The headings that a walk over ``rows`` emits: every prefix of a path where it is first met.
@@ -29,15 +27,16 @@ def published_items(items: DataFrame, selected: DataFrame, path: str = "structur
     return items.join(prefixes, F.array_join(F.col(path), "\x1f") == F.col("prefix_"), "left_semi")
 
 
-def parents_by_depth(rows: DataFrame, group: str, order: str, depth: str, own: str, deepest: int = DEEPEST) -> DataFrame:
-    """``rows`` with parent: the last earlier row of the group one level up that no shallower row has cut off since."""
+def parents_by_depth(rows: DataFrame, group: str, order: str, depth: str, own: str) -> DataFrame:
+    """``rows`` with parent: the last earlier row of the group one level up that no shallower row has cut off since. Depths are those
+    that occur, however deep."""
+    depths = sorted(r[0] for r in rows.select(depth).where(F.col(depth).isNotNull()).distinct().collect())
     before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col(depth) == k, F.struct(F.col(order).alias("at"), F.col(own).alias("own")))).over(before) for k in range(deepest + 1)]
-    parent = F.lit(None)
-    for d in range(1, deepest + 1):
-        shallower = F.greatest(F.lit(-1), *(F.coalesce(last[k]["at"], F.lit(-1)) for k in range(d - 1))) if d > 1 else F.lit(-1)
-        parent = F.when((F.col(depth) == d) & (last[d - 1]["at"] > shallower), last[d - 1]["own"]).otherwise(parent)
-    return rows.withColumn("parent", parent)
+    last = [F.max(F.when(F.col(depth) == k, F.struct(F.col(order).alias("at"), F.col(depth).alias("depth"), F.col(own).alias("own")))).over(before) for k in depths]
+    if not last:
+        return rows.withColumn("parent", F.lit(None).cast(rows.schema[own].dataType))
+    nearest = F.array_max(F.filter(F.array(*last), lambda x: x["depth"] < F.col(depth)))
+    return rows.withColumn("parent", F.when(nearest["depth"] == F.col(depth) - 1, nearest["own"]))
 
 
 def toc_proposal(candidates: DataFrame) -> DataFrame:

@@ -202,3 +202,15 @@ def test_numbers_and_digests_of_a_whole_table(spark):
     groups = rows.withColumn("g", F.when(F.col("k") % 3 > 0, F.col("k") % 3))
     got = {r.group_: (r.n, r.digest) for r in ordering.root_digest(groups, F.col("g"), F.col("v")).collect()}
     assert got == {g: (len(x), sha("\n".join(x))) for g, x in ((g, sorted(f"v{i}" for i in range(101) if i % 3 == k)) for g, k in ((None, 0), ("1", 1), ("2", 2)))}
+
+
+def test_parents_at_any_depth(spark):
+    """Navigation down to 12 levels and up again, with a jump, against a plain search."""
+    depths = [*range(13), 12, 5, 7, 6, 11, 3, 4, 0, 1, 10, 11, 9, 12]
+    rows = [(1, i, d) for i, d in enumerate(depths)] + [(2, i, d) for i, d in enumerate(reversed(depths))]
+    want = {}
+    for g, i, d in rows:
+        above = [(j, e) for h, j, e in rows if h == g and j < i and e < d]
+        want[g, i] = above[-1][0] if above and above[-1][1] == d - 1 else None
+    got = structure.parents_by_depth(spark.createDataFrame(rows, "g int, i int, d int"), "g", "i", "d", "i").collect()
+    assert {(r.g, r.i): r.parent for r in got} == want and want[1, 12] == 11
