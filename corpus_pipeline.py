@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codexloom.llm.bpe import encode
 from codexloom.llm.mixing import mixed
@@ -10,7 +11,11 @@ from codexloom.llm.near_duplicates import near_duplicates
 from codexloom.llm.pii import redacted
 from codexloom.llm.quality_rules import quality_filter
 from codexloom.llm.queries import TOKENIZERS, table
-from codexloom.llm.runtime import new_path
+from codexloom.llm.runtime import free_names, new_path, stored
+
+#: Rows without an id get one from here on, above all real ones; and what a text with words has.
+UNNAMED = 1 << 62
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +24,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id; rows without an id stay."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of each group of near-duplicates stays, the one with the smallest id; the least by all columns where rows repeat an id.
+
+    Rows without an id come after those with one, in the order of a hash of their text; without words as well, they stay.
+    """
+    key, kept_key, repeated, row = free_names(docs, "dedup_key", "dedup_kept", "dedup_repeated", "dedup_row")
+    hashed = F.xxhash64("text").bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.when(F.rlike("text", F.lit(WORD)), hashed)))
+    kept = near_duplicates(keyed, key).where("kept").groupBy(F.col("doc_id").alias(kept_key)).agg((F.count("*") > 1).alias(repeated))
+    kept = stored(kept.withColumn(repeated, F.col(repeated) & F.col(kept_key).isNotNull()), "kept")
+    single = keyed.join(kept.where(~F.col(repeated)), F.col(key).eqNullSafe(F.col(kept_key)), "left_semi").drop(key)
+    if kept.where(repeated).isEmpty():  # as a rule
+        return single
+    several = keyed.join(kept.where(repeated), F.col(key) == F.col(kept_key), "left_semi")
+    least = several.groupBy(key).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(row))
+    return single.unionByName(least.select(*(F.col(row)[c].alias(c) for c in docs.columns)))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

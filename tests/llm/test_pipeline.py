@@ -75,3 +75,20 @@ def test_stages_on_odd_rows(spark, data, name):
         assert not {1, 2} & set(ids) and max(ids.values()) <= 4
     else:
         assert ids == Counter(r[0] for r in ODD)
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark, data):
+    """Rows that repeat an id, with equal texts or not, and rows without an id are documents like others."""
+    text = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, text("a"), "x"), (1, text("a"), "x"), (2, text("b"), "z"), (2, text("c"), "y"), (2, text("c"), "y"), (3, text("d"), "x"), (None, text("d") + " end", "x")]
+    rows += [(None, text("e"), "x"), (None, text("e"), "w"), (None, None, "x"), (None, None, "x"), (None, " ", "x"), (4, None, "x"), (5, "", "x"), (6, text("a"), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = [(1, text("a"), "x"), (2, text("b"), "z"), (3, text("d"), "x"), (None, text("e"), "w"), (None, None, "x"), (None, None, "x"), (None, " ", "x"), (4, None, "x"), (5, "", "x")]
+    for given in (docs, docs.repartition(3)):
+        out = corpus_pipeline.near_dedup(spark, given, data)
+        assert out.columns == docs.columns and Counter(map(tuple, out.collect())) == Counter(want)
+
+
+def test_near_dedup_counts_odd_rows(spark, data):
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(ODD, SCHEMA), data).collect()
+    assert Counter(r.doc_id for r in out) == Counter([None, 1, 2, 3, 4, 5, 7])
