@@ -11,7 +11,6 @@ paragraph_ids), findings (kind, page_id, occurrence_id, object_id, candidate_id)
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,9 +118,7 @@ CHECKS: list[tuple[str, Callable[[Tables], DataFrame], tuple[str, ...]]] = [
 
 def evaluate(tables: Tables, target: str, names: tuple[str, ...] | None = None) -> DataFrame:
     """check_id, passed, n_observed and observed (at most 100 values, sorted) of the checks that a target asks for, or of those named."""
-    parts = [ordering.report_row(name, failing(tables)) for name, failing, targets in CHECKS if target in targets and (names is None or name in names)]
-    counted, first = (reduce(DataFrame.unionByName, side) for side in zip(*parts, strict=True))
-    return counted.join(first, "check_id").select("check_id", (F.col("n_observed") == 0).alias("passed"), "n_observed", "observed")
+    return ordering.report({name: failing(tables) for name, failing, targets in CHECKS if target in targets and (names is None or name in names)})
 
 
 def verdict(tables: Tables, target: str) -> DataFrame:
@@ -141,8 +138,7 @@ def of_export(chunks: DataFrame, assets: DataFrame, uses: DataFrame, markdown_he
         "headings_unexpected": head.select(F.col("title").alias("v")), "headings_missing": lost.select(F.col("title").alias("v")),
         "text_digest": chunks.where(~ids.sha256(F.col("text")).eqNullSafe(F.col("text_sha256"))).select(F.col("chunk_id").alias("v")),
     }
-    rows = [df.agg(F.count("*").alias("n_observed")).select(F.lit(k).alias("check_id"), (F.col("n_observed") == 0).alias("passed"), "n_observed") for k, df in parts.items()]
-    return reduce(DataFrame.unionByName, rows)
+    return ordering.report(parts).drop("observed")
 
 
 def dom_regressions(rows: DataFrame) -> DataFrame:

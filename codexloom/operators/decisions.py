@@ -34,7 +34,8 @@ def active(log: DataFrame, keys: list[str], order: list[str], live: DataFrame, l
 
 
 def link_hash(previous: Column, *parts: Column) -> Column:
-    return ids.sha256(F.concat_ws("|", previous, *(p.cast("string") for p in parts)))
+    """The hash of a link; a null part is a mark of its own, so that rows with nulls in other places differ."""
+    return ids.sha256(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("\x00")) for p in (previous, *parts))))
 
 
 def verify_chain(log: DataFrame, group: str, order: list[str], own: str, declared_previous: str, declared: str, genesis: Column) -> DataFrame:

@@ -23,16 +23,29 @@ def contiguous(rows: DataFrame, group: str, index: str, start: int = 0) -> DataF
     return by.select(group, "n", "lo", "hi", F.coalesce(ok, F.lit(False)).alias("contiguous"))
 
 
+#: Indexes of a bucket, and the levels of buckets: a window but the last sorts at most so many rows, the last one a row for 10**8 indexes.
+_BUCKET, _LEVELS = 10_000, 3
+
+
 def missing_indexes(rows: DataFrame, index: str) -> DataFrame:
-    """Indexes from 1 to the largest that no row has: each gap between neighbours, expanded."""
-    at = rows.select(F.col(index).cast("long").alias("i")).where("i >= 1").distinct().withColumn("bucket", F.floor(F.col("i") / 10_000))
-    inside = at.withColumn("prev", F.lag("i").over(Window.partitionBy("bucket").orderBy("i")))
-    edges = at.groupBy("bucket").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
-    # a row a bucket of 10 000 indexes: small enough for one ordered pass over the buckets
-    joints = edges.select("lo", F.coalesce(F.lag("hi").over(Window.orderBy("bucket")), F.lit(0).cast("long")).alias("before"))
-    gaps = inside.where("prev is not null and i > prev + 1").select((F.col("prev") + 1).alias("a"), (F.col("i") - 1).alias("b"))
-    gaps = gaps.unionByName(joints.where("lo > before + 1").select((F.col("before") + 1).alias("a"), (F.col("lo") - 1).alias("b")))
-    return gaps.select(F.explode(F.sequence("a", "b")).alias("missing"))
+    """Indexes from 1 to the largest that no row has: each gap between neighbours, expanded in pieces.
+
+    Neighbours are met within buckets, then the buckets' ends within buckets of buckets, and so on: no window but the last holds more than a bucket's rows, and that a row for 10**8 indexes.
+    """
+    ends = rows.select(F.col(index).cast("long").alias("lo")).where("lo >= 1").distinct().withColumn("hi", F.col("lo"))
+    gaps = None
+    for level in range(1, _LEVELS + 1):
+        last = level == _LEVELS
+        bucket = F.lit(0).cast("long") if last else F.expr(f"lo div {_BUCKET**level}")
+        own = ends.withColumn("bucket", bucket)
+        before = F.lag("hi").over(Window.partitionBy("bucket").orderBy("lo"))
+        own = own.withColumn("before", F.coalesce(before, F.lit(0).cast("long")) if last else before)
+        found = own.where("lo > before + 1").select((F.col("before") + 1).alias("a"), (F.col("lo") - 1).alias("b"))
+        gaps = found if gaps is None else gaps.unionByName(found)
+        ends = own.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("bucket")
+    piece = _BUCKET * 100
+    pieces = gaps.select("b", F.explode(F.sequence("a", "b", F.lit(piece).cast("long"))).alias("a"))
+    return pieces.select(F.explode(F.sequence("a", F.least("b", F.col("a") + (piece - 1)))).alias("missing"))
 
 
 def partition_check(blocks: DataFrame, spans: DataFrame) -> DataFrame:

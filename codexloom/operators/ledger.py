@@ -11,7 +11,7 @@ ENGINE = "text_native"
 
 
 def page_name(number: Column, prefix: str = "document_", digits: int = 8) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), digits, "0"))
+    return F.concat(F.lit(prefix), ids.padded(number, digits))
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n") -> DataFrame:

@@ -14,7 +14,7 @@ MOCK_PREFIX = "译文："
 
 
 def unit_id(chapter: Column, unit: Column) -> Column:
-    return F.concat(F.lit("c"), F.lpad(chapter.cast("string"), 3, "0"), F.lit("_u"), F.lpad(unit.cast("string"), 4, "0"))
+    return F.concat(F.lit("c"), ids.padded(chapter, 3), F.lit("_u"), ids.padded(unit, 4))
 
 
 def units(lines: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def translation_audit(expected: DataFrame, given: DataFrame) -> DataFrame:
 
 def evidence_rows(old: DataFrame) -> DataFrame:
     """Blocks of an older package (block_id, page, spine_index, text, block_kind, source_type) as observations, and what they were."""
-    page = F.concat(F.lit("legacy_"), F.lpad(F.coalesce("page", "spine_index", F.lit(1)).cast("string"), 5, "0"))
+    page = F.concat(F.lit("legacy_"), ids.padded(F.coalesce("page", "spine_index", F.lit(1)), 5))
     own = ids.stable_id("ev", F.lit("legacy"), F.col("block_id"), F.col("text"))
     return old.select(own.alias("evidence_id"), page.alias("page_id"), F.col("block_id").alias("legacy_block_id"), "text", ids.sha256(F.col("text")).alias("text_sha256"), F.coalesce("block_kind", text.block_kind(F.col("text"))).alias("block_kind"), F.coalesce("source_type", F.lit("legacy")).alias("engine"))
 

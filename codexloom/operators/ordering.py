@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from pathlib import Path
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .graph import cut_lineage
 
 
@@ -54,13 +55,21 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def root_digest(rows: DataFrame, group: Column, line: Column) -> DataFrame:
     """group_, n and digest of each group's lines, sorted and joined with newlines. A digest is one sequence, so a group is one task's, but
     its lines stream through it."""
-    rows.sparkSession.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).parents[2])
+    ship(rows.sparkSession)
     own = rows.select(group.cast("string").alias("group_"), F.coalesce(line, F.lit("None")).alias("line"))
     return own.repartition(F.col("group_")).sortWithinPartitions("group_", "line").mapInArrow(_digested, "group_ string, n long, digest string")
 
 
-def report_row(check_id: str, failing: DataFrame, most: int = 100) -> tuple[DataFrame, DataFrame]:
-    """The count of a check's failing values (column v), and the first of them in order, each a row with check_id."""
-    counted = failing.agg(F.count("*").alias("n_observed")).select(F.lit(check_id).alias("check_id"), "n_observed")
-    first = failing.select(F.col("v").cast("string").alias("v")).distinct().orderBy("v").limit(most)
-    return counted, first.agg(F.array_sort(F.collect_list("v")).alias("observed")).select(F.lit(check_id).alias("check_id"), "observed")
+def report(failing: dict[str, DataFrame], most: int = 100) -> DataFrame:
+    """check_id, passed, n_observed and observed (the first ``most`` distinct values in order) of each check, from its failing values (column v).
+
+    All checks' values are one table that is aggregated once; the window keeps ``most`` rows a check on the map side already.
+    """
+    parts = [df.select(F.lit(name).alias("check_id"), F.col("v").cast("string").alias("v")) for name, df in failing.items()]
+    by = reduce(DataFrame.unionByName, parts).groupBy("check_id", "v").agg(F.count("*").alias("c"))
+    counted = by.groupBy("check_id").agg(F.sum("c").alias("n"))
+    place = F.row_number().over(Window.partitionBy("check_id").orderBy("v"))
+    first = by.where("v is not null").withColumn("place", place).where(F.col("place") <= most).groupBy("check_id").agg(F.array_sort(F.collect_list("v")).alias("first"))
+    names = by.sparkSession.createDataFrame([(name,) for name in failing], "check_id string")
+    out = names.join(counted, "check_id", "left").join(first, "check_id", "left")
+    return out.select("check_id", F.col("n").isNull().alias("passed"), F.coalesce("n", F.lit(0)).alias("n_observed"), F.coalesce("first", F.array().cast("array<string>")).alias("observed"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 
-MIN_CHARS_PAPER = 30
+#: Surfaces from which on a document of no other kind is a book.
+BOOK_SURFACES = 30
 
 
 def package_name(path: Column) -> Column:
@@ -31,7 +32,7 @@ def guarded(rows: DataFrame, ok: Column, reason: Column) -> DataFrame:
 def document_kind(given: Column, source_format: Column, surfaces: Column) -> Column:
     """The stated kind, else that of the format, else a book from 30 pages on."""
     by_format = F.when(source_format.isin("epub", "mobi"), "book").when(source_format.isin("html",), "web_page").when(source_format.isin("docx", "text", "markdown"), "document").when(source_format.isin("image", "image_directory"), "scan")
-    return F.coalesce(F.nullif(given, F.lit("auto")), by_format, F.when(surfaces >= MIN_CHARS_PAPER, "book").otherwise("paper"))
+    return F.coalesce(F.nullif(given, F.lit("auto")), by_format, F.when(surfaces >= BOOK_SURFACES, "book").otherwise("paper"))
 
 
 def unique_or_null(value: str) -> Column:

@@ -47,9 +47,8 @@ def embedding_manifest(chunks: DataFrame, parts: list[Column]) -> DataFrame:
     """One row for whoever embeds the chunks: how many, the digest of what they are, and the key that says when they are stale."""
     from .publishing import invalidation_key
 
-    own = F.xxhash64("chunk_id", "text_sha256").cast("decimal(38,0)")
-    by = chunks.agg(F.count("*").alias("chunk_count"), F.coalesce(F.sum(own), F.lit(0)).cast("string").alias("rows_digest"))
-    return by.select(F.lit("unembedded").alias("status"), "chunk_count", ids.sha256(F.col("rows_digest")).alias("input_sha256"), invalidation_key([*parts, F.col("rows_digest")]).alias("invalidation_key"))
+    by = chunks.agg(F.count("*").alias("chunk_count"), ids.rows_digest(ids.row_json({"chunk_id": "string", "text_sha256": "string"}, ["chunk_id", "text_sha256"])).alias("rows_digest"))
+    return by.select(F.lit("unembedded").alias("status"), "chunk_count", F.col("rows_digest").alias("input_sha256"), invalidation_key([*parts, F.col("rows_digest")]).alias("invalidation_key"))
 
 
 def page_extent(blocks: DataFrame, pages: DataFrame) -> DataFrame:

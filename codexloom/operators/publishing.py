@@ -54,9 +54,15 @@ def markdown(rows: DataFrame, title: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(body.alias("body")).select("doc_id", F.concat(head, F.col("body"), F.lit("\n")).alias("markdown"))
 
 
+def verdicts(checks: DataFrame, targets: tuple[str, ...]) -> DataFrame:
+    """target, failed and status of each target over one report (check_id, passed, blocks). A hint and a review tolerate all but the
+    blocking checks."""
+    each = checks.withColumn("target", F.explode(F.array(*map(F.lit, targets))))
+    failed = F.count_if(~F.col("passed") & (F.col("blocks") | (F.col("target") == "citation")))
+    good = F.when(F.col("target") == "hint", "HINT_READY").when(F.col("target") == "review", "REVIEW_READY").otherwise("PASS_STRICT")
+    return each.groupBy("target").agg(failed.alias("failed")).select("target", "failed", F.when(F.col("failed") == 0, good).otherwise("FAIL_REVIEW").alias("status"))
+
+
 def verdict(checks: DataFrame, target: str) -> DataFrame:
-    """One row: a target's verdict over its checks (check_id, passed, blocks). A hint tolerates all but the blocking ones."""
-    counts = F.col("blocks") | F.lit(target == "citation")
-    failed = F.count_if(~F.col("passed") & counts)
-    status = F.when(failed == 0, F.lit({"hint": "HINT_READY", "review": "REVIEW_READY", "citation": "PASS_STRICT"}[target])).otherwise("FAIL_REVIEW")
-    return checks.agg(F.lit(target).alias("target"), failed.alias("failed"), status.alias("status")).select("target", "failed", "status")
+    """One row: a target's verdict."""
+    return verdicts(checks, (target,))

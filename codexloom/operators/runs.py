@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 from functools import reduce
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import ids, text
+from ..session import ship
 
 PIPELINE = "codexloom-1"
 
@@ -48,7 +48,7 @@ def policy_findings(policy: dict) -> list[str]:
 def materialize(tables: dict[str, DataFrame], folder: str, run: str) -> DataFrame:
     """Write each table to ``folder/run/name``, unless the run is there already, and return the manifest: name, rows, digest.
 
-    A digest is the sum of the rows' hashes, so it doesn't depend on their order and takes one pass of partial aggregates.
+    A digest doesn't depend on the order of the rows and takes one pass of partial aggregates.
     """
     spark = next(iter(tables.values())).sparkSession
     manifest = f"{folder}/{run}/manifest"
@@ -65,9 +65,9 @@ def materialize(tables: dict[str, DataFrame], folder: str, run: str) -> DataFram
 
 
 def digest_of(df: DataFrame, name: str) -> DataFrame:
-    """name, rows and digest of a table."""
-    own = F.xxhash64(*(F.col(f"`{c}`") for c in sorted(df.columns)))
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(own.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest")).select(F.lit(name).alias("name"), "rows", "digest")
+    """name, rows and digest of a table: of its rows as JSON, nulls included, whatever their order."""
+    line = F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns))), {"ignoreNullFields": "false"})
+    return df.agg(F.count("*").alias("rows"), ids.rows_digest(line).alias("digest")).select(F.lit(name).alias("name"), "rows", "digest")
 
 
 def reconcile(declared: DataFrame, observed: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def normalized_variants(observed: DataFrame) -> DataFrame:
 
     Spark has no normalisation built in, so texts beyond Latin-1 go through one Arrow function.
     """
-    observed.sparkSession.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).parents[2])
+    ship(observed.sparkSession)
     nfc = pandas_udf(_nfc, "string")
     ends = F.regexp_replace("text", "\r\n|\r", "\n")
     rows = observed.withColumn("tidy", ends)
@@ -155,7 +155,4 @@ def status(manifest: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def canonical_hash(df: DataFrame, names: list[str]) -> Column:
     """The hash of a row's fields as JSON with sorted keys and blanks after separators; nulls stay."""
-    quote = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    kinds = dict(df.dtypes)
-    value = lambda n: F.coalesce(quote(F.col(n)) if kinds[n] == "string" else F.col(n).cast("string"), F.lit("null"))
-    return ids.sha256(F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit(f'"{n}": '), value(n)) for n in sorted(names))), F.lit("}")))
+    return ids.sha256(ids.row_json(dict(df.dtypes), names))

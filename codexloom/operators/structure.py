@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import ids, text
 from . import ordering
 
 
@@ -47,9 +47,8 @@ def toc_proposal(candidates: DataFrame) -> DataFrame:
     tidy = candidates.select("place", text.collapse(F.col("title")).alias("title"), "score").where("title <> ''")
     first = tidy.groupBy(F.lower("title").alias("key")).agg(F.min(F.struct("place", "title", "score")).alias("row")).select("row.*")
     placed = ordering.with_next(ordering.numbered(first, ["place"], "item"), "item", "title", "expected_end_before")
-    item = F.col("item").cast("string")
     return placed.select(
-        F.concat(F.lit("toc_"), F.lpad(item, F.greatest(F.lit(3), F.length(item)), F.lit("0"))).alias("toc_id"), F.col("item").alias("order"), "title", text.strip_number(F.col("title")).alias("normalized_title"), text.section_type(F.col("title")).alias("section_type"),
+        F.concat(F.lit("toc_"), ids.padded(F.col("item"), 3)).alias("toc_id"), F.col("item").alias("order"), "title", text.strip_number(F.col("title")).alias("normalized_title"), text.section_type(F.col("title")).alias("section_type"),
         "expected_end_before", F.least("score", F.lit(0.95)).alias("confidence"),
     )
 

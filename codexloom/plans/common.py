@@ -51,8 +51,24 @@ def values(rows: list[tuple], names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") AS v({names})"
 
 
+def padded_sql(number: str, digits: int) -> str:
+    """A number with zeros before it up to so many digits; a longer one stays whole."""
+    return f"lpad(({number})::VARCHAR, greatest({digits}, length(({number})::VARCHAR))::INT, '0')"
+
+
+#: Documents with ids longer than the digits that names are filled up to: names mustn't cut them.
+LONG_IDS = [(123456780, "first\nsecond"), (123456781, "first\nsecond"), (12345678901234, "Chapter 9\nthe end")]
+
+
+def with_long_ids(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").unionByName(spark.createDataFrame(LONG_IDS, "doc_id long, text string"))
+
+
+LONG_IDS_SQL = f"(SELECT doc_id, text FROM documents UNION ALL SELECT d, t FROM {values(LONG_IDS, 'd, t')})"
+
+
 #: Lines of a document's text with their places from 1.
-LINES_SQL = "SELECT doc_id, sha256(text) AS source_sha, 'document_' || lpad(doc_id::VARCHAR, 8, '0') AS page_id, unnest(generate_series(1, len(ls))) AS ordinal, unnest(ls) AS text FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)"
+LINES_SQL = f"SELECT doc_id, sha256(text) AS source_sha, 'document_' || {padded_sql('doc_id', 8)} AS page_id, unnest(generate_series(1, len(ls))) AS ordinal, unnest(ls) AS text FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)"
 EVIDENCE_SQL = f"SELECT *, 'ev_' || substr(sha256(concat_ws('|', source_sha, page_id, 'text_native', ordinal::VARCHAR, text, '[]')), 1, 16) AS evidence_id FROM ({LINES_SQL})"
 BLOCKS_SQL = f"SELECT *, 'blk_' || substr(sha256(page_id || '|' || evidence_id), 1, 16) AS block_id FROM ({EVIDENCE_SQL})"
 PARAGRAPHS_SQL = f"""SELECT *, 'para_' || substr(sha256('[{{"block_id": "' || block_id || '", "end_offset": ' || length(text) || ', "evidence_id": "' || evidence_id || '", "start_offset": 0}}]'), 1, 16) AS paragraph_id FROM ({BLOCKS_SQL})"""

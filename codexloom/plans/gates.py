@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import integrity
+from ..operators import integrity, ordering
 from .common import table
 
 #: A check's name, the rows that fail it and the value reported of each; whether it blocks the lower targets too.
@@ -46,9 +45,10 @@ REPORT_SQL = " UNION ALL ".join(f"SELECT '{name}' AS check_id, count(*) = 0 AS p
 
 
 def evaluate(tables: dict[str, DataFrame], checks: list[Check] = CHECKS) -> DataFrame:
-    """check_id, passed, n_observed, first_observed and blocks of each check."""
-    rows = [integrity.check(name, failing(tables), F.col(value)).withColumn("blocks", F.lit(blocks)) for name, failing, value, blocks in checks]
-    return reduce(DataFrame.unionByName, rows)
+    """check_id, passed, n_observed, first_observed and blocks of each check: one report for all targets."""
+    rows = ordering.report({name: failing(tables).select(F.col(value).alias("v")) for name, failing, value, _ in checks}, 1)
+    blocking = [name for name, _, _, blocks in checks if blocks]
+    return rows.select("check_id", "passed", "n_observed", F.try_element_at("observed", F.lit(1)).alias("first_observed"), F.col("check_id").isin(blocking).alias("blocks"))
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:

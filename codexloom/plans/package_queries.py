@@ -6,19 +6,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import acceptance, ledger, objects, ocr, packages, publishing, rendering, runs, structure
-from .common import BLOCKS_SQL, EVIDENCE_SQL, LINES_SQL, PARAGRAPHS_SQL, query, table
+from .common import BLOCKS_SQL, EVIDENCE_SQL, LINES_SQL, PARAGRAPHS_SQL, padded_sql, query, table, values
 
 CHECKED = ("evidence_surface_foreign_keys", "asset_surface_foreign_keys", "spine_surface_accounting", "page_extraction", "canonical_reverse_mapping", "manual_page_review", "paragraph_source_span_anchor_integrity", "canonical_block_disposition_coverage", "canonical_block_single_disposition", "no_mock_evidence", "semantic_reviewer_provenance", "asset_occurrence_accounting")
 
 
 @query(
     f"""WITH e AS (SELECT *, CASE WHEN doc_id % 31 = 7 THEN 'mock_ocr' ELSE 'text_native' END AS engine FROM ({EVIDENCE_SQL})),
-s AS (SELECT 'document_' || lpad(doc_id::VARCHAR, 8, '0') AS page_id, doc_id + 1 AS ordinal, CASE WHEN n_chars < 200 THEN 'unresolved' ELSE 'extracted' END AS status, doc_id FROM documents WHERE doc_id % 41 <> 5),
+s AS (SELECT 'document_' || {padded_sql('doc_id', 8)} AS page_id, doc_id + 1 AS ordinal, CASE WHEN n_chars < 200 THEN 'unresolved' ELSE 'extracted' END AS status, doc_id FROM documents WHERE doc_id % 41 <> 5),
 c AS (SELECT block_id, page_id, evidence_id, doc_id, ordinal, CASE WHEN doc_id % 37 = 3 AND ordinal = 1 THEN text || '!' ELSE text END AS text, text AS raw FROM ({BLOCKS_SQL})),
 p AS (SELECT block_id, ordinal, doc_id, CASE WHEN ordinal % 50 = 4 THEN length(text) + 3 WHEN ordinal % 50 = 5 THEN greatest(0, length(text) - 1) ELSE length(text) END AS e, length(text) AS n FROM c),
-l AS (SELECT 'document_' || lpad(doc_id::VARCHAR, 8, '0') AS page_id, quality FROM labels),
+l AS (SELECT 'document_' || {padded_sql('doc_id', 8)} AS page_id, quality FROM labels),
 f AS (SELECT 'evidence_surface_foreign_keys' AS check_id, evidence_id AS v FROM e WHERE page_id NOT IN (SELECT page_id FROM s)
-UNION ALL SELECT 'asset_surface_foreign_keys', url FROM pages WHERE 'document_' || lpad(page_id::VARCHAR, 8, '0') NOT IN (SELECT page_id FROM s)
+UNION ALL SELECT 'asset_surface_foreign_keys', url FROM pages WHERE 'document_' || {padded_sql('page_id', 8)} NOT IN (SELECT page_id FROM s)
 UNION ALL SELECT 'spine_surface_accounting', i::VARCHAR FROM generate_series(1, (SELECT max(ordinal) FROM s)) AS g(i) WHERE i NOT IN (SELECT ordinal FROM s)
 UNION ALL SELECT 'page_extraction', page_id FROM s WHERE status = 'unresolved'
 UNION ALL SELECT 'canonical_reverse_mapping', block_id FROM c WHERE text <> raw
@@ -85,9 +85,12 @@ def q61_asset_slots(spark, sf_dir):
     return objects.within_slots(rows).select("page_id", F.col("order").alias("ord"), "new_order")
 
 
-@query("""SELECT c_custkey, sha256('{"c_custkey": ' || c_custkey || ', "c_mktsegment": "' || c_mktsegment || '", "c_name": "' || c_name || '"}') AS row_hash FROM customer""")
+ODD_NAMES = [(-1, 'tab\there "quoted" back\\slash', "A\nB"), (-2, "bell\x07 form\x0c end\r\n", "é 中"), (-3, "", "\x11")]
+
+
+@query(f"""SELECT c_custkey, sha256('{{"c_custkey": ' || c_custkey || ', "c_mktsegment": ' || to_json(c_mktsegment)::VARCHAR || ', "c_name": ' || to_json(c_name)::VARCHAR || '}}') AS row_hash FROM (SELECT c_custkey, c_name, c_mktsegment FROM customer UNION ALL SELECT * FROM {values(ODD_NAMES, "k, n, s")})""")
 def q62_canonical_json(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").unionByName(spark.createDataFrame(ODD_NAMES, "c_custkey long, c_name string, c_mktsegment string"))
     return rows.select("c_custkey", runs.canonical_hash(rows, ["c_name", "c_custkey", "c_mktsegment"]).alias("row_hash"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 from ..operators import decisions, integrity, ocr, packages, publishing, rendering, spatial, structure
 from . import gates
-from .common import query, table, values
+from .common import padded_sql, query, table, values
 
 
 @query(
@@ -40,8 +40,7 @@ FROM c JOIN {values([(k, b) for k, b in gates.BLOCKS.items()], "check_id, blocks
 )
 def q20_hint_vs_citation(spark, sf_dir):
     checks = gates.report(spark, sf_dir)
-    out = [publishing.verdict(checks, target) for target in ("hint", "review", "citation")]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return publishing.verdicts(checks, ("hint", "review", "citation"))
 
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
@@ -171,15 +170,20 @@ def q35_link_kinds(spark, sf_dir):
     return by.agg(F.count("*").alias("n"), F.min("href").alias("first_href"), F.max(F.length("href")).cast("long").alias("longest"))
 
 
+#: Units whose numbers are longer than names are filled up to; the second of each pair repeats if names cut them.
+LONG_UNITS = [(1234567, 1), (12345678, 0), (5, 123456), (5, 12345)]
+
+
 @query(
-    """WITH u AS (SELECT 'c' || lpad(conv_id::VARCHAR, 6, '0') || '_u' || lpad((turn + 1)::VARCHAR, 4, '0') AS unit_id, conv_id, turn FROM conversations),
+    f"""WITH u AS (SELECT 'c' || {padded_sql("conv_id", 6)} || '_u' || {padded_sql("turn + 1", 4)} AS unit_id, conv_id, turn FROM (SELECT conv_id, turn FROM conversations UNION ALL SELECT c, t FROM {values(LONG_UNITS, "c, t")})),
 g AS (SELECT unit_id FROM u WHERE NOT (conv_id % 17 = 4 AND turn = 1) UNION ALL SELECT unit_id FROM u WHERE conv_id % 23 = 5 AND turn = 0 UNION ALL SELECT unit_id || 'x' FROM u WHERE conv_id % 29 = 6 AND turn = 0),
 a AS (SELECT unit_id, count(*) AS e FROM u GROUP BY 1), b AS (SELECT unit_id, count(*) AS g FROM g GROUP BY 1)
 SELECT unit_id, coalesce(e, 0) AS expected, coalesce(g, 0) AS given, CASE WHEN g IS NULL THEN 'missing' WHEN e IS NULL THEN 'extra' ELSE 'duplicate' END AS finding FROM a FULL JOIN b USING (unit_id) WHERE e IS DISTINCT FROM g"""
 )
 def q43_unit_reconcile(spark, sf_dir):
-    unit = F.concat(F.lit("c"), F.lpad(F.col("conv_id").cast("string"), 6, "0"), F.lit("_u"), F.lpad((F.col("turn") + 1).cast("string"), 4, "0"))
-    units = table(spark, sf_dir, "conversations").select(unit.alias("unit_id"), "conv_id", "turn")
+    unit = F.concat(F.lit("c"), ids.padded(F.col("conv_id"), 6), F.lit("_u"), ids.padded(F.col("turn") + 1, 4))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").unionByName(spark.createDataFrame(LONG_UNITS, "conv_id long, turn int"))
+    units = turns.select(unit.alias("unit_id"), "conv_id", "turn")
     given = units.where("not (conv_id % 17 = 4 and turn = 1)").unionByName(units.where("conv_id % 23 = 5 and turn = 0")).unionByName(units.where("conv_id % 29 = 6 and turn = 0").withColumn("unit_id", F.concat("unit_id", F.lit("x"))))
     return integrity.reconcile(units.select("unit_id"), given.select("unit_id"), "unit_id")
 
@@ -213,14 +217,15 @@ def q50_caption_nearest(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE b AS (SELECT l_orderkey % 500 AS page_id, l_orderkey * 10 + l_linenumber AS id, l_quantity * 12 AS x, l_partkey % 400 AS y, 20 + l_discount * 200 AS w FROM lineitem WHERE l_orderkey < 4000),
+    """WITH RECURSIVE b AS (SELECT l_orderkey // 8 AS page_id, l_orderkey * 10 + l_linenumber AS id, l_quantity * 12 AS x, l_partkey % 400 AS y, 20 + l_discount * 200 AS w FROM lineitem),
 e AS (SELECT p.id AS a, q.id AS b FROM b p JOIN b q ON p.page_id = q.page_id AND p.id <> q.id AND least(p.x + p.w, q.x + q.w) > greatest(p.x, q.x) AND least(p.y + 15, q.y + 15) > greatest(p.y, q.y)),
 r(a, b) AS (SELECT id, id FROM b UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT page_id, id, component FROM b JOIN (SELECT a AS id, min(b) AS component FROM r GROUP BY a) USING (id)"""
 )
 def q51_components(spark, sf_dir):
+    """Overlapping boxes of all of lineitem, 8 orders a page, so that pages grow with the table."""
     x, y, w = F.col("l_quantity") * 12, (F.col("l_partkey") % 400).cast("double"), 20 + F.col("l_discount") * 200
-    boxes = table(spark, sf_dir, "lineitem").where("l_orderkey < 4000").select((F.col("l_orderkey") % 500).alias("page_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array(x, y, x + w, y + 15).alias("box"))
+    boxes = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 8).alias("page_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array(x, y, x + w, y + 15).alias("box"))
     return spatial.overlap_groups(boxes)
 
 
@@ -268,30 +273,12 @@ def q56_parents_by_depth(spark, sf_dir):
     return structure.parents_by_depth(rows, "conv_id", "turn", "depth", "turn")
 
 
-@query(
-    """SELECT o.o_custkey, o.o_orderkey, (SELECT c2.n_name FROM nation c2 WHERE c2.n_nationkey = (SELECT max(n_nationkey) FROM nation WHERE n_nationkey <= o.o_orderkey % 40 AND n_nationkey % 3 = 0)) AS path FROM orders o WHERE o_custkey % 50 = 1"""
-)
+@query("SELECT o_custkey, o_orderkey, n_name AS path FROM (SELECT o_custkey, o_orderkey, o_orderkey % 40 AS at FROM orders) o ASOF LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 3 = 0) n ON o.at >= n.n_nationkey")
 def q57_path_at(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_custkey % 50 = 1")
-    points = orders.select(F.lit(1).alias("page_id"), F.array((F.col("o_orderkey") % 40).cast("int")).alias("dom_path"), F.col("o_orderkey").alias("id"))
-    paths = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.lit(1).alias("page_id"), F.array(F.col("n_nationkey")).alias("dom_path"), F.col("n_name").alias("path"))
-    placed = structure.path_at(paths, points).select(F.col("id").cast("long").alias("o_orderkey"), "path")
-    return orders.select("o_custkey", "o_orderkey").join(placed, "o_orderkey").select("o_custkey", "o_orderkey", "path")
-
-
-@query(None)
-def q70_all_components(spark, sf_dir):
-    """q51 over all of lineitem: 8 orders a page, so that pages grow with the table; boxes of one id are one node, as there."""
-    x, y, w = F.col("l_quantity") * 12, (F.col("l_partkey") % 400).cast("double"), 20 + F.col("l_discount") * 200
-    boxes = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 8).alias("page_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array(x, y, x + w, y + 15).alias("box"))
-    return spatial.overlap_groups(boxes)
-
-
-@query(None)
-def q71_all_paths_at(spark, sf_dir):
-    """q57 over all orders: a page a customer, each with all paths, so that pages grow with the table."""
+    """All orders as points, a page a customer, each with all paths; every third nation begins a path, so that points fall between them."""
     orders = table(spark, sf_dir, "orders")
     points = orders.select(F.col("o_custkey").alias("page_id"), F.array((F.col("o_orderkey") % 40).cast("int")).alias("dom_path"), F.col("o_orderkey").alias("id"))
-    nations = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.array(F.col("n_nationkey").cast("int")).alias("dom_path"), F.col("n_name").alias("path"))
-    paths = orders.select(F.col("o_custkey").alias("page_id")).distinct().crossJoin(nations)
+    nations = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("all_"))  # one row, of a fixed table
+    paths = orders.select(F.col("o_custkey").alias("page_id")).distinct().join(nations, F.lit(True)).select("page_id", F.inline("all_"))
+    paths = paths.select("page_id", F.array(F.col("n_nationkey").cast("int")).alias("dom_path"), F.col("n_name").alias("path"))
     return structure.path_at(paths, points).select(F.col("page_id").alias("o_custkey"), F.col("id").cast("long").alias("o_orderkey"), "path")

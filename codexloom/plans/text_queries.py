@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 from ..operators import integrity, ledger, ordering, passages, rendering, structure
 from ..sources import html
-from .common import BLOCKS_SQL, EVIDENCE_SQL, LINES_SQL, PARAGRAPHS_SQL, query, table, values
+from .common import BLOCKS_SQL, EVIDENCE_SQL, LINES_SQL, LONG_IDS_SQL, PARAGRAPHS_SQL, query, table, values, with_long_ids
 
 
-@query(f"SELECT doc_id, ordinal, evidence_id, sha256(text) AS text_sha256, length(text)::BIGINT AS n_chars FROM ({EVIDENCE_SQL})")
+@query(f"SELECT doc_id, ordinal, evidence_id, sha256(text) AS text_sha256, length(text)::BIGINT AS n_chars FROM ({EVIDENCE_SQL.replace('FROM documents', 'FROM ' + LONG_IDS_SQL)})")
 def q01_line_ledger(spark, sf_dir):
-    rows = ledger.evidence(ledger.lines(table(spark, sf_dir, "documents")))
+    rows = ledger.evidence(ledger.lines(with_long_ids(spark, table(spark, sf_dir, "documents"))))
     return rows.select("doc_id", "ordinal", "evidence_id", "text_sha256", F.length("text").cast("long").alias("n_chars"))
 
 
-@query(f"SELECT doc_id, block_id, paragraph_id, ordinal AS \"order\", length(text)::BIGINT AS span_end FROM ({PARAGRAPHS_SQL})")
+@query(f"SELECT doc_id, block_id, paragraph_id, ordinal AS \"order\", length(text)::BIGINT AS span_end FROM ({PARAGRAPHS_SQL.replace('FROM documents', 'FROM ' + LONG_IDS_SQL)})")
 def q02_paragraph_ledger(spark, sf_dir):
-    rows = ledger.paragraphs(ledger.canonical(ledger.evidence(ledger.lines(table(spark, sf_dir, "documents")))))
+    rows = ledger.paragraphs(ledger.canonical(ledger.evidence(ledger.lines(with_long_ids(spark, table(spark, sf_dir, "documents"))))))
     return rows.select("doc_id", "block_id", "paragraph_id", "order", "span_end")
 
 

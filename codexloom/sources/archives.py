@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import lzma
 import posixpath
+import struct
 import unicodedata
 import zipfile
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from pathlib import Path
 from urllib.parse import unquote, urlsplit
 from xml.etree import ElementTree
 
@@ -16,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .html import blocks_of
+from .markup import decode_markup
 
 # ---- fixed values: limits of an archive and of an XML part ----
 MAX_ENTRIES = 20_000
@@ -44,6 +48,10 @@ def check_archive(archive: zipfile.ZipFile) -> None:
         raise UnsafeArchive("too large")
     for info in infos:
         parts = info.filename.replace("\\", "/").split("/")
+        if not info.filename.strip("/"):
+            raise UnsafeArchive("a member without a name")
+        if info.file_size and not info.compress_size:
+            raise UnsafeArchive(f"member without data: {info.filename}")
         if info.filename.startswith(("/", "\\")) or ".." in parts or (parts and ":" in parts[0]):
             raise UnsafeArchive(f"path leaves the archive: {info.filename}")
         if (info.external_attr >> 16) & 0o170000 == 0o120000:
@@ -55,7 +63,7 @@ def check_archive(archive: zipfile.ZipFile) -> None:
     if any(n > 1 for n in names.values()):
         raise UnsafeArchive("names collide")
     files = {key(i.filename) for i in infos if not i.is_dir()}
-    if any(name.startswith(f"{prefix}/") for name in names for prefix in (posixpath.dirname(name),) if prefix in files):
+    if any("/".join(parts[:k]) in files for parts in (name.split("/") for name in names) for k in range(1, len(parts))):
         raise UnsafeArchive("a file is also a folder")
 
 
@@ -111,16 +119,21 @@ def epub_blocks(data: bytes) -> list[tuple[str, str, str]]:
         package = safe_xml(z.read(opf))
         manifest = {i.get("id"): i.get("href") or "" for i in package.iter(f"{_OPF}item")}
         for ref in package.iter(f"{_OPF}itemref"):
-            status, path, _ = resolve(opf, manifest.get(ref.get("idref"), ""))
+            if not manifest.get(ref.get("idref")):
+                raise UnsafeArchive(f"the spine names no item: {ref.get('idref')}")
+            status, path, _ = resolve(opf, manifest[ref.get("idref")])
             if status == "local" and path in z.NameToInfo:
                 raw = z.read(path)
                 safe = raw.replace(b"\0", b"").upper()
                 if b"<!ENTITY" in safe:
                     raise UnsafeArchive(f"{path} declares entities")
-                out += [(path, tag, text) for tag, _, text in blocks_of(raw.decode("utf-8", "replace"))]
+                out += [(path, tag, text) for tag, _, text in blocks_of(decode_markup(raw))]
     return out
 
 
+#: What a damaged, encrypted or oddly compressed file, an unknown encoding or an unsafe archive raises: one such file is one row with an error.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, ElementTree.ParseError, KeyError, RuntimeError, OSError, EOFError, struct.error, ValueError)
+
 READERS = {"docx": docx_blocks, "epub": epub_blocks}
 
 
@@ -129,7 +142,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             try:
                 rows = [(path, i, *r, None) for i, r in enumerate(READERS[kind](data or b""), 1)]
-            except (UnsafeArchive, zipfile.BadZipFile, ElementTree.ParseError, KeyError) as e:
+            except UNREADABLE as e:
                 rows = [(path, None, None, None, None, f"{type(e).__name__}: {e}")]
             if rows:
                 cols = list(zip(*rows, strict=True))
@@ -139,6 +152,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(files: DataFrame) -> DataFrame:
     """path, ordinal, part, tag, text of the DOCX and EPUB files of a corpus (path, format, content), or error for one that isn't read."""
-    files.sparkSession.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).parents[2])
+    ship(files.sparkSession)
     own = files.where(F.col("format").isin(*READERS)).select("path", "format", "content")
     return own.mapInArrow(_read, "path string, ordinal long, part string, tag string, text string, error string")

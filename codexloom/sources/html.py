@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 BLOCK_TAGS = ("h1", "h2", "h3", "h4", "p", "li", "figcaption", "table")
 HIDDEN_TAGS = ("script", "style", "template", "noscript")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -89,7 +91,5 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def page_blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """page_id, ordinal, tag, dom_path and text of each page's blocks in document order."""
-    from pathlib import Path
-
-    pages.sparkSession.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).parents[2])
+    ship(pages.sparkSession)
     return pages.select(F.col(id_col).cast("long"), F.col(html_col)).mapInArrow(_rows, "page_id long, ordinal long, tag string, dom_path string, text string")

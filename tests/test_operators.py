@@ -75,6 +75,9 @@ def test_integrity_sets(spark):
     rows = spark.createDataFrame([(1,), (2,), (5,), (20_001,), (3,)], "i int")
     assert sorted(r.missing for r in integrity.missing_indexes(rows, "i").limit(3).collect())[0] == 4
     assert integrity.missing_indexes(rows, "i").count() == 20_001 - 5
+    far = spark.createDataFrame([(2,), (3_000_000,), (2_500_001,)], "i long")  # gaps across buckets of every level
+    assert integrity.missing_indexes(far, "i").count() == 3_000_000 - 3
+    assert integrity.missing_indexes(far.limit(0), "i").count() == 0
     a, b = F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(1), F.lit(1))
     assert one(spark, integrity.same_sets(a, b)) and one(spark, integrity.is_permutation(F.array(F.lit(4), F.lit(3), F.lit(5)))) and not one(spark, integrity.is_permutation(b))
 

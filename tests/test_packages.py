@@ -100,6 +100,25 @@ def test_variants_and_json(spark):
     rows = spark.createDataFrame([(1, 'a"\\b', None)], "n int, s string, z string")
     want = json.dumps({"n": 1, "s": 'a"\\b', "z": None}, sort_keys=True, ensure_ascii=False)
     assert rows.select(runs.canonical_hash(rows, ["z", "s", "n"]).alias("h")).first().h == hashlib.sha256(want.encode()).hexdigest()
+    odd = [("".join(map(chr, range(40))), True, 0.0), ("é\u2028中😀", False, 1e16), ("\n", None, 123456789.25), ("/", True, 1e-5), ("", True, -1234567890123456.0), ("x", True, 1.5e300), ("y", True, 0.0001), ("z", True, 0.00123), ("w", True, 10000000.0), ("v", True, -2.5e-10)]
+    rows = spark.createDataFrame(odd, "s string, b boolean, d double")
+    got = {r.s: r.h for r in rows.select("s", runs.canonical_hash(rows, ["s", "b", "d"]).alias("h")).collect()}
+    for s, b, d in odd:
+        assert got[s] == hashlib.sha256(json.dumps({"s": s, "b": b, "d": d}, sort_keys=True, ensure_ascii=False).encode()).hexdigest(), (s, b, d)
+
+
+def test_digests_tell_nulls_apart(spark):
+    from codexloom.operators import decisions
+
+    digest = lambda rows: runs.digest_of(spark.createDataFrame(rows, "a string, b string"), "t").first().digest
+    assert digest([(None, "x")]) != digest([("x", None)])
+    assert digest([("x", "y"), ("x", "y")]) != digest([("x", "y")])
+    assert digest([("1", "2"), ("3", "4")]) == digest([("3", "4"), ("1", "2")])
+    from pyspark.sql import functions as F
+
+    link = lambda *parts: decisions.link_hash(*(F.lit(p).cast("string") for p in parts))
+    row = spark.range(1).select(link("p", None, "z").alias("a"), link("p", "z").alias("b"), link("p", "z", None).alias("c")).first()
+    assert len({row.a, row.b, row.c}) == 3
 
 
 @pytest.fixture(scope="module")

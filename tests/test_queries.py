@@ -47,37 +47,3 @@ def test_partitions_do_not_matter(spark, data):
 
 def test_html_blocks_have_rows(spark, data):
     assert {r.tag for r in QUERIES["q08_page_blocks"](spark, data).collect()} >= {"h1", "p"}
-
-
-def test_components_of_the_whole_table(spark, duck, data):
-    """q70 against union-find over all pairs of boxes of a page, for every row of lineitem."""
-    pages, root = {}, {}
-    for order, line, quantity, part, discount in duck.execute("SELECT l_orderkey, l_linenumber, l_quantity, l_partkey, l_discount FROM lineitem").fetchall():
-        x, y = quantity * 12, part % 400
-        pages.setdefault(order // 8, []).append((order * 10 + line, x, y, x + (20 + discount * 200), y + 15))
-        root[order * 10 + line] = order * 10 + line
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for boxes in pages.values():
-        for a, ax, ay, au, av in boxes:
-            for b, bx, by, bu, bv in boxes:
-                if a < b and min(au, bu) > max(ax, bx) and min(av, bv) > max(ay, by):
-                    low, high = sorted((top(a), top(b)))
-                    root[high] = low
-    want = [(page, box[0], top(box[0])) for page, boxes in pages.items() for box in boxes]
-    got = QUERIES["q70_all_components"](spark, data).select("page_id", "id", "component").collect()
-    assert len(pages) > 100 and any(i != c for _, i, c in want)
-    assert sorted(map(tuple, got)) == sorted(want)
-
-
-def test_paths_of_the_whole_table(spark, duck, data):
-    """q71 against a plain search, for every row of orders."""
-    names = dict(duck.execute("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 3 = 0").fetchall())
-    orders = duck.execute("SELECT o_custkey, o_orderkey FROM orders").fetchall()
-    want = [(c, o, names[max(k for k in names if k <= o % 40)]) for c, o in orders]
-    got = QUERIES["q71_all_paths_at"](spark, data).select("o_custkey", "o_orderkey", "path").collect()
-    assert len(want) == duck.execute("SELECT count(*) FROM orders").fetchone()[0] and sorted(map(tuple, got)) == sorted(want)

@@ -23,12 +23,13 @@ DOCX = zipped([
     ("word/document.xml", f'<w:document {W}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:r><w:t>Some </w:t><w:t>text</w:t></w:r><w:del><w:r><w:delText>gone</w:delText></w:r></w:del></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'),
     ("word/footnotes.xml", f"<w:footnotes {W}><w:p><w:r><w:t>note</w:t></w:r></w:p></w:footnotes>"),
 ])
-EPUB = zipped([
+EPUB_PARTS = [
     ("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OPS/content.opf"/></rootfiles></container>'),
     ("OPS/content.opf", '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="a" href="a.xhtml"/><item id="b" href="b%20b.xhtml"/></manifest><spine><itemref idref="b"/><itemref idref="a"/></spine></package>'),
     ("OPS/a.xhtml", "<html><body><h1>Two</h1><p>end</p></body></html>"),
     ("OPS/b b.xhtml", "<html><body><h1>One</h1><p>start <i>now</i></p></body></html>"),
-])
+]
+EPUB = zipped(EPUB_PARTS)
 
 
 def test_html_blocks():
@@ -41,10 +42,20 @@ def test_docx_and_epub(spark):
     assert [(t, x) for _, t, x in archives.epub_blocks(EPUB)] == [("h1", "One"), ("p", "start now"), ("h1", "Two"), ("p", "end")]
     files = spark.createDataFrame([("a.docx", "docx", DOCX), ("b.epub", "epub", EPUB), ("bad.docx", "docx", b"junk")], "path string, format string, content binary")
     rows = archives.read_archives(files).collect()
+    locked = bytearray(DOCX)  # the flag of an encrypted member, in the local and the central header
+    for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        locked[locked.index(mark) + at] |= 1
+    odd = [("locked.docx", "docx", bytes(locked)), ("method.docx", "docx", DOCX.replace(DOCX[DOCX.index(b"PK\x01\x02") : DOCX.index(b"PK\x01\x02") + 12], DOCX[DOCX.index(b"PK\x01\x02") : DOCX.index(b"PK\x01\x02") + 10] + b"\x63\0"))]
+    odd.append(("latin.epub", "epub", zipped([*EPUB_PARTS[:2], ("OPS/a.xhtml", "<?xml version='1.0' encoding='iso-8859-1'?><html><body><p>caf\u00e9</p></body></html>".encode("latin-1")), EPUB_PARTS[3]])))
+    odd.append(("coding.epub", "epub", zipped([*EPUB_PARTS[:2], ("OPS/a.xhtml", b"<?xml version='1.0' encoding='x-none'?><html/>"), EPUB_PARTS[3]])))
+    odd.append(("lost.epub", "epub", zipped([EPUB_PARTS[0], ("OPS/content.opf", EPUB_PARTS[1][1].replace('idref="a"', 'idref="zz"')), *EPUB_PARTS[2:]])))
+    got = archives.read_archives(spark.createDataFrame(odd, "path string, format string, content binary")).collect()
+    assert sorted({r.path for r in got if r.error}) == ["coding.epub", "locked.docx", "lost.epub", "method.docx"]
+    assert "caf\u00e9" in {r.text for r in got if r.path == "latin.epub"}
     assert len([r for r in rows if r.path == "b.epub"]) == 4 and [r.error is not None for r in rows if r.path == "bad.docx"] == [True]
 
 
-@pytest.mark.parametrize("names", [["../x"], ["/x"], ["A", "a"], ["é", "é"], ["a", "a/b"]])
+@pytest.mark.parametrize("names", [["../x"], ["/x"], ["A", "a"], ["é", "é"], ["a", "a/b"], ["a", "a/b/c"], ["a/b", "a/b/c/d/e"], ["/"], [""]])
 def test_unsafe_archives(names):
     with zipfile.ZipFile(io.BytesIO(zipped([(n, "x") for n in names]))) as z, pytest.raises(archives.UnsafeArchive):
         archives.check_archive(z)
