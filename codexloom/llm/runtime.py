@@ -4,34 +4,27 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_dir, ship
+
 #: Rows and bytes in one Arrow batch handed to Python; bounds a worker's memory whatever the row size.
 BATCH_ROWS = 2000
 BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python functions get, by rows and by bytes, and let workers import this package from
-    where the driver has it, should it not be installed."""
-    spark.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).parents[2])
+    """Bound the Arrow batches that Python functions get, by rows and by bytes, and let workers import this package.
+
+    The bounds are the session's and stay: frames run when their results are asked for, which is after the call that made them.
+    """
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests), a local one is made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="codexloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def _hadoop(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
