@@ -27,6 +27,9 @@ ROWS = 5
 BANDS = BINS // ROWS
 #: Documents link if PERCENT of their union is shared.
 PERCENT = 75
+#: A key is heavy with more rows than both LEAST_HEAVY and a HEAVY-th of all: at most HEAVY keys are, whatever the table. Buckets are looked at
+#: in one of LOOK documents.
+HEAVY, LEAST_HEAVY, LOOK = 1000, 2000, 64
 
 
 def _orders() -> np.ndarray:
@@ -64,33 +67,42 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = shingle_sets(batch.column(1), SHINGLE)
         full = [i for i, s in enumerate(sets) if len(s)]
-        digests: list[str | None] = [None] * len(sets)
+        digests: list[bytes | None] = [None] * len(sets)
         bands: list[np.ndarray | None] = [None] * len(sets)
         if full:
             keys = band_keys(np.stack([sketch(sets[i]) for i in full])).view(np.int64)
             for k, i in enumerate(full):
-                digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).hexdigest()
+                digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                 bands[i] = keys[k]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), pa.array(bands, pa.list_(pa.int64()))],
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
             names=["id", "n", "digest", "bands"],
         )
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, part, b, text) in order, a's own texts (b null) first: the pairs whose sets link."""
+    now, hubs = None, []
     for batch in batches:
-        left, right = shingle_sets(batch.column(2), SHINGLE), shingle_sets(batch.column(3), SHINGLE)
-        keep = []
-        for a, b in zip(left, right, strict=True):
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(len(a) > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        sets, found = shingle_sets(batch.column(3), SHINGLE), []
+        for a, part, b, own in zip(*(batch.column(k).to_pylist() for k in range(3)), sets, strict=True):
+            if (a, part) != now:
+                now, hubs = (a, part), []
+            if b is None:
+                hubs.append(own)
+                continue
+            for hub in hubs:
+                both = len(np.intersect1d(hub, own, assume_unique=True))
+                if len(own) and 100 * both >= PERCENT * (len(hub) + len(own) - both):
+                    found.append((a, b))
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n (distinct shingles), digest of the shingle set and band keys of each document; the last two null without words."""
     prepare(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_signed, "id long, n long, digest string, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_signed, "id long, n long, digest binary, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -129,15 +141,36 @@ def components(edges: DataFrame) -> DataFrame:
         label, left = later, nearer
 
 
-def _fitting(found: DataFrame) -> DataFrame:
-    """Distinct pairs of a hub and a member whose set sizes allow a link."""
-    fits = (F.col("n") * 100 >= F.col("hub_n") * PERCENT) & (F.col("hub_n") * 100 >= F.col("n") * PERCENT)
-    return found.where(fits).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+def _heavy(counts: DataFrame, key: str, total: int) -> DataFrame:
+    """Keys (``key``, rows) with more than a HEAVY-th of ``total`` rows: fewer than HEAVY of them, whatever the table."""
+    return counts.where(F.col("rows") > max(LEAST_HEAVY, total // HEAVY)).select(key, "rows")
+
+
+def _buckets(reps: DataFrame) -> DataFrame:
+    """(key, id, n, hub, hub_n) of the members of buckets with two members or more; the hub is the member with the least id.
+
+    Buckets that look large in a fixed part of the documents have their hub found by a partial aggregate and sent to their members;
+    all others meet in one shuffle. Both ways give the same rows, so the look decides only where the work is done.
+    """
+    keyed = reps.select(F.explode("bands").alias("key"), "id", "n")
+    part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(LOOK)) == 0
+    looked = stored(reps.where(part).select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > LEAST_HEAVY // LOOK), "looked")
+    large = _heavy(looked.withColumn("rows", F.col("rows") * LOOK), "key", reps.count()).select("key")  # a document is in BANDS buckets: fewer than BANDS * HEAVY
+    large = stored(large, "large")
+    discard(looked)
+    own = Window.partitionBy("key")
+    met = keyed.join(F.broadcast(large), "key", "left_anti").withColumn("hub", F.min(F.struct("id", "n")).over(own)).withColumn("last", F.max("id").over(own))
+    met = met.where(F.col("hub.id") < F.col("last")).select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    hot = keyed.join(F.broadcast(large), "key")
+    hubs = hot.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).where(F.col("hub.id") < F.col("last"))
+    hot = hot.join(F.broadcast(hubs.select("key", "hub")), "key").select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    return stored(met.unionByName(hot), "buckets")
 
 
 def _first_stars(buckets: DataFrame) -> DataFrame:
-    hub = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"))
-    return _fitting(buckets.join(hub, "key").where("id <> hub"))
+    """Distinct pairs of a hub and a member whose set sizes allow a link."""
+    fits = (F.col("n") * 100 >= F.col("hub_n") * PERCENT) & (F.col("hub_n") * 100 >= F.col("n") * PERCENT)
+    return buckets.where((F.col("id") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _open(buckets: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -179,23 +212,33 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(t)) for k, t in (("a", "left"), ("b", "right")))
-    sides = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return stored(sides.mapInArrow(_confirmed, "a long, b long"), "links")
+    """Pairs whose full shingle sets link. A text goes once to each document ``a`` that it is compared with, and meets a's own text there;
+    a document in very many pairs as ``a`` has copies, and its pairs are dealt to them."""
+    counts = stored(pairs.groupBy("a").agg(F.count("*").alias("rows")), "hubs")
+    heavy = F.broadcast(_heavy(counts, "a", pairs.count()))
+    parts = F.coalesce(F.ceil(F.col("rows") / LEAST_HEAVY), F.lit(1)).cast("int")
+    dealt = pairs.join(heavy, "a", "left").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"), "b")
+    hubs = counts.select("a").join(heavy, "a", "left").select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    need = dealt.unionByName(hubs.select(F.col("a").alias("id"), "a", "part", F.lit(None).cast("long").alias("b")))
+    sides = texts.join(need, "id").select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    links = stored(sides.mapInArrow(_confirmed, "a long, b long"), "links")
+    discard(counts)
+    return links
 
 
 def _star(label: DataFrame) -> DataFrame:
     return label.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
 
 
-def link(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sets(signed: DataFrame) -> DataFrame:
+    """digest, id (the least with that shingle set), n, bands and rows of each distinct set: an aggregate that combines on the map side."""
+    named = signed.where("digest is not null and id is not null")
+    return stored(named.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("rows")), "sets")
+
+
+def link(docs: DataFrame, reps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) of the distinct shingle sets' representatives that link with another."""
-    reps = signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    reps = stored(reps.select("id", "n", "bands"), "reps")
-    keyed = reps.select("id", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    buckets = stored(keyed.join(shared, "key"), "buckets")
-    discard(reps)
+    buckets = _buckets(reps)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = stored(texts.join(buckets.select("id").distinct(), "id"), "texts")
     label = None
@@ -219,14 +262,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Nulls: a null text is empty; a row whose id is null links with nothing, has a null component and is kept. Empty texts and
     texts without words have no shingles and are their own component. Repeated rows: rows of one id count as one document, linked
-    with whatever any of them links with. Ties: the smallest id. An empty table gives no rows; other columns of ``docs`` aren't read.
+    with whatever any of them links with. Ties: the smallest id. An empty table gives no rows; other columns of ``docs`` aren't
+    read, and texts of any length count whole. The result is a table in the shared folder; those made on the way are deleted before it is returned.
     """
     prepare(docs.sparkSession)
     signed = stored(signatures(docs, id_col, text_col), "signatures")
-    label = link(docs, signed, id_col, text_col)
-    sets = signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    # copies of one set and rows of one id hang together as well
-    copies = signed.select("id", "digest").where("id is not null").join(sets, "digest").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    sets = _sets(signed)
+    label = link(docs, sets, id_col, text_col)
+    # copies of one set and rows of one id hang together as well; the few sets with very many rows are sent to them, so no task has all copies of one
+    reps, rows = sets.where("rows > 1").select("digest", F.col("id").alias("rep"), "rows"), signed.select("id", "digest").where("id is not null")
+    heavy = stored(_heavy(reps, "digest", signed.count()), "heavy").select("digest")
+    of_heavy = rows.join(F.broadcast(reps.join(F.broadcast(heavy), "digest")), "digest")
+    of_others = rows.join(F.broadcast(heavy), "digest", "left_anti").join(reps.join(F.broadcast(heavy), "digest", "left_anti"), "digest")
+    copies = of_others.unionByName(of_heavy).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    copies = stored(copies, "copies")
     many = copies.join(label.select(F.col("id").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     own = label.select(F.col("id").alias("b"), "component").union(many.select("b", "component")).union(many.select("a", "component")).groupBy("b").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     own = stored(own, "components")
@@ -234,6 +283,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         named = own.select(F.col("b").alias("id"), F.col("lo").alias("component"))
     else:
         named = components(stored(_star(label).union(copies), "links"))
-    out = signed.select("id", "n").join(named, "id", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = signed.select("id", "n").join(named, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = stored(out, "classes")
+    for made in (signed, sets, copies, own):
+        discard(made)
+    return out
