@@ -6,6 +6,7 @@ dual coordinate descent on a bounded sample of labelled rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -145,21 +146,22 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = buffers(batch.column(1))
         keep = has_letter(data, offsets)
         rows = [x.astype(np.float16).tobytes() for x in features(data, offsets)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "x"]).filter(pa.array(keep))
+        texts = [hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2), pa.array(texts, pa.binary())], names=["lang", "x", "doc_id", "digest"]).filter(pa.array(keep))
 
 
 def learn(docs: DataFrame, total: int = SAMPLE) -> Model | None:
-    """The model of a sample of ``docs`` whose crc32(doc_id) mod 4 isn't 2 and whose lang isn't null; None without any."""
+    """The model of a sample of ``docs`` whose crc32(doc_id) mod 4 isn't 2 and whose lang isn't null, over the most frequent
+    languages (``sampling.LABELS``); None without any. Repeated rows count each."""
     prepare(docs.sparkSession)
     rows = docs.where((crc_of("doc_id") % 4 != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = sample(rows.select("doc_id", "lang", "text"), "lang", "doc_id", total)
-    got = chosen.select("lang", "text").mapInArrow(_featured, "lang string, x binary").toArrow()
+    got = chosen.select("lang", "text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_featured, "lang string, x binary, doc_id long, digest binary").toArrow()
     if not len(got):
         return None
+    got = got.sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("digest", "ascending")])  # rows come in Spark's order; training must not depend on it
     x = np.stack([np.frombuffer(b, np.float16) for b in got.column("x").to_pylist()]).astype(np.float32)
-    langs = np.array(got.column("lang").to_pylist(), object)
-    order = np.lexsort((*x.T[:8], langs))  # the order in which rows come is Spark's; training must not depend on it
-    return fit(x[order], langs[order])
+    return fit(x, np.array(got.column("lang").to_pylist(), object))
 
 
 def _predicted(model: Model | None):
@@ -185,7 +187,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row's whole text.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text if nothing could be learned. A null id isn't
-    held out and isn't learned from. Repeated rows give equal rows; an empty table gives none; other columns aren't read.
+    held out and isn't learned from. Equal votes go to the family, then the language, that comes first by name. Repeated rows give equal rows;
+    an empty table gives none; other columns aren't read, and texts of any length are read whole.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_of("doc_id") % 4 == 2, F.lit(False)).alias("held_out"), "text")
