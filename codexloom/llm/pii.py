@@ -1,7 +1,8 @@
 """Personal data: patterns, and a linear-chain conditional random field over word-shape features.
 
 The patterns find emails, IP addresses, card numbers and phone numbers. The field adds names after a cue, spelled-out addresses
-("anna at mail dot com"), secrets, and card and phone numbers that the patterns lose because other numbers stand beside them: it is trained on a small labelled table by exact gradients, and decodes each line of a text by
+("anna at mail dot com"), secrets, and card and phone numbers that the patterns lose because other numbers stand beside them: it is trained on a small
+labelled table by exact gradients, and decodes each line of a text by
 Viterbi in numpy batches. A line in which the outside label leads everywhere by more than transitions can repay needs no decoding:
 its best path is known.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -86,6 +88,13 @@ Signed: [name Clara Moreau]
 Contact: [name Ivan Petrov], the owner of the shop.
 name: [name Laura Bianchi]
 Name: [name Karl Lange], born in the north.
+She is [name Ruth Cohen] who wrote the report.
+It is [name Omar Haddad] from the second floor.
+He is [name Karl Braun] who built the house.
+We met [name Robert Brown] yesterday at the station.
+They met [name Lucia Romano] and her brother.
+Dear [name Helen Clark], thank you for the letter.
+dear [name Jonas Berg] we are glad to hear from you
 you can reach me: [contact anna at mail dot com] or in the evening
 mail [contact peter [at] example [dot] org] for more
 contact: [contact maria.lopez (at) host (dot) net] today
@@ -100,20 +109,11 @@ password: [secret Tr0ub4dor3x9k2q7]
 api_key = [secret "sk-9a8b7c6d5e4f3a2b1c0d9e8f"]
 secret: [secret 9f86d081884c7d659a2feaa0c55ad015]
 key = [secret '0a1b2c3d4e5f60718293a4b5c6d7e8f9'] in the file
-The ble of onanth and thereer is. Ofthe hation and ing.
-Anth the of ered and was. The at is of the house.
-Le la mentoi des éoir, et les ouans. Un ètre dans le monde.
-Der einlich und die schung. Das heit ist von der stadt.
-El dela que los ciones, y una osta. Para la gente.
-THE HATION AND!! IS OF!! ERED THE!! WAS.
-of%%% the*** erntwh.%%% thntatwh&&& ndreea$$$ an%%% as###
-ofand | erheed | thstre | atheth | thhees | oranti
-Paris, Lyon and Berlin are at the end of the road.
-Chapter 12 of the book is at page 345, in 1998 and later.
-The order 47853 was sent at 10.30 on Monday.
+old### token = [secret "7c4a8d09ca3762af61e59520943dc26494f8941b"]### new
+les token = [secret "da39a3ee5e6b4b0d3255bfef95601890afd80709"] sont là
 call [number +1 (487) 555-7209 4736962573099581] now
 is [number +1 (269) 555-3296 4524132264652876] and the
-on [number +1 (855) 555-4208 4866351201689520] hation, is
+on [number +1 (855) 555-4208 4866351201689520] garden, is
 was 97.51.17.173 [number 4880761348116108] the end
 the [number 4451718024887799] 27.65.93.14 of it
 of 38.253.197.126 [number 4880761348116108]
@@ -121,43 +121,55 @@ The card [number 4012888888881881] and the
 [number +44 20 7946 0958] is the line
 [number 4929348385146306] of it [number 4952935900253052]
 it was [number +1 (017) 555-7713] then
+[number +1 (487) 555-7209] is at hand, 97.51.17.173 as well
+### [number 4785380592391139$$$] de,&&& garden lamp&&& 152.143.123.131
+34@mail7.example.com at the end of it
+The boat lay in the harbour all winter. Nobody used it.
+Le chat dort sur la chaise, et les enfants jouent dans le jardin.
+Der Hund liegt unter dem Tisch und die Katze sitzt auf dem Dach.
+El perro duerme en la casa, y una niña canta para la gente.
+THE STORE IS CLOSED!! COME BACK!! ON MONDAY!!
+bread%%% and*** butter.%%% with salt&&& or jam$$$ an%%% apple###
+lamp | chair | table | window | door
+Paris, Lyon and Berlin are at the end of the road.
+Chapter 12 of the book is at page 345, in 1998 and later.
+The order 47853 was sent at 10.30 on Monday.
 He was at the dot of the line and at rest.
 It is the key of the door and the name of the rose.
 The name of it is old. A token of the past was in it.
 Licensed under CC BY-NC 4.0.
+under the Apache License, Version 2.0 and the Public License
 Copyright 2019 The Authors. All rights reserved.
 the code 4a7f9b2c of the part is short
 A contact of the two was made at once, and a secret was kept.
 They write to the world at large. Please write soon.
-### [number 4785380592391139$$$] de,&&& token ring&&& 152.143.123.131
 Mr and Mrs of the house. Doctor and nurse.
 Dear Sir, the key is under the mat.
 www.example.com/index.html is at the top
-34@mail7.example.com at the end of it
-[number +1 (487) 555-7209] is at hand, 97.51.17.173 as well
-with is ereren is. The. Thingon of the hation was.
-tiwhed to. And. Anhend is ofthe. Onea to. Is. Aneaes and
-this is to. Nthe. Blely to the end. To. The road is. Onornd
+We met at noon. It is late. Go to bed. To be is to do.
+It is raining. In the garden. Of course. The end.
+wind to. And. Rain is of. Snow to. Is. Sun and
 at. at. at. at at. at at at at. at
-onea onea onea onea at. onea at. the
+stone stone stone stone at. stone at. the
 At At At At At At At At At At At
-Heer heenin heenin heenin heenin heenin heenin heenin heenin heenin heenin heenin
-nd nd nd nd thhein thhein thhein thhein thhein thhein nd nd nd nd thhein
+Home homely homely homely homely homely homely homely homely homely
+and and and and river river river river river river and and and and river
 le le le le le pas pas pas pas pas pas pas pas pas pas
-is is is is eningti eningti eningti eningti eningti it it it theaat theaat theaat
-de de de de èêai èêai èêai èêai èêai èêai èêai
-the oferealy thines and thshorhe ingthnd onhe eningti with menton oferealy
-mail ofere onhe the reen nted and thines it
-anen anen to to to is. is. is. is. Ereren
-He is Thered and it is Onhan to Eresti of the Hation.
-It was to Paris and is. To. Be. Of Oninges at. The
+is is is is evening evening evening it it it morning morning morning
+de de de de été été été été été été
+a write. mail a letter to the shop when the others mail to it
+one day to to to is. is. is. is. Every day.
+He is Tired and it is Dark on Sunday to Rest of the Week.
+It was to Paris and is. To. Be. Of Evenings at. The
 The. And. Of is. To. In. A.
-thing is, The to, And is; Onthe to: the is: Oferen
+water is, The to, And is; On the to: the is: Often
 at the dot of at dot at the dot com of it.
+The key to Open Doors. It is So Far to Go.
+The River Thames is to Greenwich and to Kent.
 """.strip().splitlines()
 
 _CUES = {
-    1: ("name", "mr", "mrs", "ms", "dr", "signed", "contact", "write"),
+    1: ("name", "mr", "mrs", "ms", "dr", "signed", "contact", "write", "met", "dear"),
     2: ("at", "(at)", "[at]"),
     3: ("dot", "(dot)", "[dot]"),
     4: ("token", "password", "passwd", "secret", "api_key", "apikey", "key"),
@@ -387,13 +399,20 @@ class Finder:
         added: list[list] = [[] for _ in texts]
         for i, j in slices(offsets):
             a, b = int(offsets[i]), int(offsets[j])
+            points, taken = None, {}
             for k, label, run in self._labelled(data[a:b], offsets[i : j + 1] - a):
+                if points is None:  # code points before each byte of the slice
+                    points = np.append(0, np.cumsum((data[a:b] & 0xC0) != 0x80))
+                begin = int(points[offsets[i + k] - a])
                 k += i
-                shift = len(data[offsets[k] : a + run[0][0]].tobytes().decode())
+                if k not in taken:
+                    taken[k] = _covered(base[k])
+                starts, ends = taken[k]
                 free: list[list[tuple[int, int]]] = [[]]
-                for x, y in run:  # bytes to code points, counted on from the run's first byte
-                    x, y = (shift + len(data[a + run[0][0] : a + z].tobytes().decode()) for z in (x, y))
-                    if any(s < y and x < e for _, s, e in base[k]):
+                for x, y in run:
+                    x, y = int(points[x]) - begin, int(points[y]) - begin
+                    at = bisect_left(starts, y) - 1
+                    if at >= 0 and ends[at] > x:
                         free.append([])
                     else:
                         free[-1].append((x, y))
@@ -406,6 +425,18 @@ class Finder:
         return list(zip(texts, base, added, strict=True))
 
 
+def _covered(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what spans cover together, in order and apart."""
+    starts, ends = [], []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def _tidied(kind: str, text: str, start: int, end: int) -> tuple[str, int, int] | None:
     """The span without marks around it; None if nothing is left, or for numbers if neither a card nor a phone can be in it."""
     piece = text[start:end]
@@ -471,7 +502,8 @@ def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 
 
 def redacted(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """``docs`` with each span of the text replaced by its kind in angle brackets; ``chars_col``, if there, counts anew. Nulls stay."""
+    """``docs`` with each span of the text replaced by its kind in angle brackets; ``chars_col``, if there, counts anew. Nulls stay; an
+    empty table gives none; texts of any length are searched whole; no column's name can clash."""
     prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no name can clash
