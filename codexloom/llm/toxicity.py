@@ -27,10 +27,11 @@ SUFFIX = 5
 PARTS = 2 + len(PREFIXES)
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: Most labelled rows that the classifier is fitted on, half of them toxic, and most bytes of the text of one: they are gathered in
-#: the driver. Thresholds come from all rows.
+#: Most labelled rows that the classifier is fitted on, half of them toxic, and most bytes of their texts: they are gathered in the driver,
+#: 16 bytes a word. So a text of the sample has at most SAMPLE_BYTES / SAMPLE bytes. Thresholds come from all rows and whole texts.
 SAMPLE = 4000
-LONGEST = 1 << 20
+SAMPLE_BYTES = 64 << 20
+LONGEST = SAMPLE_BYTES // SAMPLE
 #: Bins of a unit of the logit, and the highest logit with a bin of its own, for the counts that thresholds come from.
 BINS = 256
 HIGHEST = 500
@@ -272,7 +273,8 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, held_out, score and predicted (score at least 0.7) of each row's whole text.
 
     Null and empty texts are scored as a text without words; all scores are 0 if nothing could be learned. A null id isn't held
-    out and isn't learned from. Repeated rows give equal rows; an empty table gives none; other columns aren't read.
+    out and isn't learned from. Ties of cuts go to the higher one. Repeated rows give equal rows; an empty table gives none; other columns aren't
+    read, and texts of any length are read whole.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_of("doc_id") % 3 == 1, F.lit(False)).alias("held_out"), "text")
