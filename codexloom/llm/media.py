@@ -213,7 +213,18 @@ def with_features(described: DataFrame, folder: str) -> DataFrame:
     return described.mapInArrow(_features(folder), _REPORT)
 
 
+#: Bytes of payloads that a task reads back.
+READ_BYTES = 16 << 20
+
+
+def dealt(index: DataFrame) -> DataFrame:
+    """The index dealt by how much there is to read, in the order of the shards: the index alone is a few small files."""
+    total = index.agg(F.sum("length").alias("n")).first().n or 0
+    return index.repartitionByRange(max(1, -(-total // READ_BYTES)), "shard", "offset").sortWithinPartitions("shard", "offset")
+
+
 def media_report(docs: DataFrame) -> DataFrame:
-    """Store, describe and read back the whole texts of ``docs``."""
+    """Store, describe and read back the whole texts of ``docs``; nulls, repeated rows and payloads as in :func:`write_media`, an empty table gives
+    no rows, and other columns aren't read."""
     folder = new_path(docs.sparkSession, "media")
-    return with_features(with_metadata(write_media(docs, folder), folder), folder)
+    return with_features(with_metadata(dealt(write_media(docs, folder)), folder), folder)
