@@ -71,13 +71,13 @@ def _until(text: str, at: int, mark: str) -> tuple[str, int] | None:
 
 
 def render_turn(role: str, text: str) -> str:
-    """The turn, escaped as far as its reparse needs."""
-    for names, texts in ((str, str), (str, escape)):
+    """The turn, escaped as far as its reparse needs; ValueError if no form is read back as it was, which no text is known to cause."""
+    for names, texts in ((str, str), (str, escape), (escape, escape)):
         shown = f"{OPEN}{names(role)}{MIDDLE}{texts(text)}{CLOSE}"
         back = parse(shown)
         if back is not None and len(back) == 1 and (back[0].role, back[0].text) == (role, text):
             return shown
-    return f"{OPEN}{escape(role)}{MIDDLE}{escape(text)}{CLOSE}"
+    raise ValueError(f"a turn of {len(text)} characters isn't read back")
 
 
 @dataclass
