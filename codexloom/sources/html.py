@@ -16,6 +16,8 @@ HIDDEN_TAGS = ("script", "style", "template", "noscript")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
+_APART = _CLOSES_P | {"caption", "dd", "dt", "figcaption", "li", "td", "th", "tr"}
+
 
 class _Blocks(HTMLParser):
     """Each block tag with the text of all below it, in the order of their starts; a block within another repeats its text."""
@@ -30,16 +32,26 @@ class _Blocks(HTMLParser):
     def _path(self) -> str:
         return "/".join(map(str, self.children))
 
+    def _blank(self) -> None:
+        """What stands on either side isn't one word."""
+        for _, at in self.open:
+            if at is not None:
+                self.found[at][2].append(" ")
+
+    def _within_cell(self) -> list[str]:
+        """Open tags since the last table cell: a paragraph outside of it isn't closed from within."""
+        names = [t for t, _ in self.open]
+        return names[max((k for k, t in enumerate(names) if t.lstrip("!") in ("td", "th", "table")), default=-1) + 1 :]
+
     def handle_starttag(self, tag, attrs):
-        if tag in _CLOSES_P and any(t == "p" for t, _ in self.open):
+        if tag in _CLOSES_P and "p" in self._within_cell():
             self.handle_endtag("p")
         if tag == "li" and any(t == "li" for t, _ in self.open) and [t for t, _ in self.open if t in ("li", "ul", "ol")][-1:] == ["li"]:
             self.handle_endtag("li")
         self.children[-1] += 1
+        if tag in _VOID or tag in _APART:
+            self._blank()
         if tag in _VOID:
-            for _, at in self.open:
-                if at is not None:
-                    self.found[at][2].append(" ")
             return
         at = None
         if tag in BLOCK_TAGS:
@@ -57,6 +69,8 @@ class _Blocks(HTMLParser):
         names = [t.lstrip("!") for t, _ in self.open]
         if tag not in names:
             return
+        if tag in _APART:
+            self._blank()
         while self.open:
             name, _ = self.open.pop()
             self.children.pop()
