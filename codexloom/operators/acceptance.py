@@ -56,9 +56,8 @@ def _span_status(*statuses: str) -> Callable[[Tables], DataFrame]:
 def _boundary_partition(t: Tables) -> DataFrame:
     """Places at which the paragraphs of the boundaries, in order, aren't the document's paragraphs."""
     flat = t["boundaries"].select("place", F.posexplode("paragraph_ids").alias("k", "paragraph_id"))
-    number = lambda df, *by: df.withColumn("n", F.row_number().over(Window.orderBy(*by)))  # noqa: E731  of one package
-    got = number(flat, "place", "k").select("n", F.col("paragraph_id").alias("got"))
-    want = number(t["paragraphs"], "order").select("n", F.col("paragraph_id").alias("want"))
+    got = ordering.numbered(flat, ["place", "k"], "n").select("n", F.col("paragraph_id").alias("got"))
+    want = ordering.numbered(t["paragraphs"], ["order"], "n").select("n", F.col("paragraph_id").alias("want"))
     return want.join(got, "n", "full_outer").where("not (got <=> want)").select(F.col("n").cast("string").alias("v"))
 
 

@@ -53,11 +53,16 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def root_digest(rows: DataFrame, group: Column, line: Column) -> DataFrame:
-    """group_, n and digest of each group's lines, sorted and joined with newlines. A digest is one sequence, so a group is one task's, but
-    its lines stream through it."""
+    """group_, n and digest of each group's lines, whatever their order.
+
+    Lines go to 256 parts by their own hash; a part's digest is that of its lines, sorted and joined with newlines, fed line by line, and a group's
+    is that of its parts' digests. So a group with all rows is 256 tasks' work and no task holds more than an Arrow batch.
+    """
     ship(rows.sparkSession)
-    own = rows.select(group.cast("string").alias("group_"), F.coalesce(line, F.lit("None")).alias("line"))
-    return own.repartition(F.col("group_")).sortWithinPartitions("group_", "line").mapInArrow(_digested, "group_ string, n long, digest string")
+    own = rows.select(group.cast("string").alias("group_"), F.coalesce(line, F.lit("None")).alias("line")).withColumn("part", F.substring(F.sha2("line", 256), 1, 2))
+    parts = own.select(F.concat(F.col("part"), F.coalesce("group_", F.lit("\x00"))).alias("key"), "line").repartition("key").sortWithinPartitions("key", "line").mapInArrow(_digested, "group_ string, n long, digest string")
+    named = parts.select(F.nullif(F.expr("substring(group_, 3)"), F.lit("\x00")).alias("group_"), "n", F.concat(F.substring("group_", 1, 2), F.lit(":"), "digest").alias("part"))
+    return named.groupBy("group_").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("part")), "\n"), 256).alias("digest"))
 
 
 def report(failing: dict[str, DataFrame], most: int = 100) -> DataFrame:

@@ -2,38 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a window, a power of two.
-WINDOW = 4
+#: Words of windows, and characters of grams for passages without a word of their own; powers of two.
+WINDOWS = (4, 2, 1)
+GRAMS = (3, 2, 1)
 
 
-def _windows(rows: DataFrame, words: str) -> DataFrame:
-    """``rows`` with ``words`` replaced by the hashes of its windows of WINDOW words, built by doubling."""
+def _windows(rows: DataFrame, words: str, size: int) -> DataFrame:
+    """``rows`` with ``words`` replaced by the hashes of its windows of ``size`` words, built by doubling."""
     df = rows.withColumn(words, F.transform(words, lambda w: F.xxhash64(w)))
     step = 1
-    while step < WINDOW:
+    while step < size:
         df = df.withColumn(words, F.zip_with(words, F.slice(words, step + 1, F.size(words)), lambda a, b: F.xxhash64(a, b)))
         step *= 2
-    return df.withColumn(words, F.slice(words, 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0))))
+    return df.withColumn(words, F.slice(words, 1, F.greatest(F.size(words) - (size - 1), F.lit(0))))
+
+
+def _grams(value: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(value) - (size - 1))), lambda k: F.substring(value, k, F.lit(size)))
 
 
 def contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(doc_id, item_id) of passages (item_id, passage) that a document's text (doc_id, text) holds.
 
     A passage that occurs has, from its second word to its last but one, the document's own words: documents and passages meet by the
-    hash of the first window there, and the text itself is searched for those that meet. Passages too short for a window are a stated
-    query set against all documents.
+    hash of the first window there, as wide as there are words for. Passages without an inner word meet by their first characters. The text itself
+    is searched for those that meet. Every meeting is a join on a key; which sizes are needed is asked of the passages alone. An empty or null
+    passage is in no text.
     """
     split = lambda c: F.split(c, r"\s+")
-    inner = passages.select("item_id", "passage", split(F.col("passage")).alias("w"))
-    long = inner.where(F.size("w") >= WINDOW + 2).select("item_id", F.slice("w", 2, WINDOW).alias("w"))
-    keys = _windows(long, "w").select("item_id", F.col("w")[0].alias("key"))
-    own = _windows(docs.select("doc_id", split(F.col("text")).alias("w")), "w").select("doc_id", F.explode(F.array_distinct("w")).alias("key"))
-    met = own.join(keys, "key").select("doc_id", "item_id").distinct()
-    found = met.join(docs.select("doc_id", "text"), "doc_id").join(passages, "item_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
-    short = inner.where(F.size("w") < WINDOW + 2).select("item_id", "passage")
-    if short.isEmpty():
-        return found
-    return found.unionByName(docs.join(short, F.contains("text", "passage")).select("doc_id", "item_id"))
+    inner = passages.where("passage <> ''").select("item_id", "passage", split(F.col("passage")).alias("w")).withColumn("inner", F.size("w") - 2)
+    window = F.when(F.col("inner") >= WINDOWS[0], WINDOWS[0]).when(F.col("inner") >= WINDOWS[1], WINDOWS[1]).when(F.col("inner") == 1, 1)
+    inner = inner.withColumns({"window": window, "gram": F.when(window.isNull(), F.least(F.lit(GRAMS[0]), F.length("passage")))})
+    needed = inner.select("window", "gram").distinct().collect()  # a row a size
+    met = []
+    for size in sorted({r.window for r in needed if r.window}):
+        keys = _windows(inner.where(F.col("window") == size).select("item_id", F.slice("w", 2, size).alias("w")), "w", size).select("item_id", F.col("w")[0].alias("key"))
+        own = _windows(docs.select("doc_id", split(F.col("text")).alias("w")), "w", size).select("doc_id", F.explode(F.array_distinct("w")).alias("key"))
+        met.append(own.join(keys, "key").select("doc_id", "item_id"))
+    for size in sorted({r.gram for r in needed if r.gram}):
+        keys = inner.where(F.col("gram") == size).select("item_id", F.substring("passage", 1, size).alias("key"))
+        own = docs.where(F.length("text") >= size).select("doc_id", F.explode(F.array_distinct(_grams(F.col("text"), size))).alias("key"))
+        met.append(own.join(keys, "key").select("doc_id", "item_id"))
+    if not met:
+        return docs.select("doc_id").join(passages.select("item_id").limit(0), F.lit(False))
+    both = reduce(DataFrame.unionByName, met).distinct()
+    return both.join(docs.select("doc_id", "text"), "doc_id").join(passages, "item_id").where(F.contains("text", "passage")).select("doc_id", "item_id")

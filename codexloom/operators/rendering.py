@@ -31,8 +31,8 @@ def table_markdown(cells: DataFrame) -> DataFrame:
     return grid.select("object_id", F.array_join(F.concat(title, lines), "\n").alias("markdown"))
 
 
-def markdown_headings(rows: DataFrame, group: str = "doc_id", number: str = "line", value: str = "text") -> DataFrame:
-    """Headings of Markdown lines outside front matter and fences: group, line, level, title."""
+def _marked(rows: DataFrame, group: str, number: str, value: str) -> DataFrame:
+    """``rows`` with heading (null, or level and title): Markdown headings outside front matter and fences."""
     w = Window.partitionBy(group).orderBy(number)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rule = text.strip(F.col(value)) == "---"
@@ -42,22 +42,33 @@ def markdown_headings(rows: DataFrame, group: str = "doc_id", number: str = "lin
     fence = text.matches(F.col(value), r"^\s*```") & ~F.col("front")
     marked = marked.withColumn("fence", fence).withColumn("inside", F.sum(F.col("fence").cast("int")).over(upto) % 2 == 1)
     pattern = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
-    found = marked.where(~F.col("front") & ~F.col("fence") & ~F.col("inside") & text.matches(F.col(value), pattern))
-    return found.select(group, F.col(number).alias("line"), F.length(F.regexp_extract(value, pattern, 1)).alias("level"), text.strip(F.regexp_extract(value, pattern, 2)).alias("title"))
+    found = ~F.col("front") & ~F.col("fence") & ~F.col("inside") & text.matches(F.col(value), pattern)
+    heading = F.struct(F.length(F.regexp_extract(value, pattern, 1)).alias("level"), text.strip(F.regexp_extract(value, pattern, 2)).alias("title"))
+    return marked.withColumn("heading", F.when(found, heading)).drop("opened", "front", "fence", "inside")
+
+
+def markdown_headings(rows: DataFrame, group: str = "doc_id", number: str = "line", value: str = "text") -> DataFrame:
+    """Headings of Markdown lines outside front matter and fences: group, line, level, title."""
+    return _marked(rows, group, number, value).where("heading is not null").select(group, F.col(number).alias("line"), "heading.*")
+
+
+def markdown_outline(rows: DataFrame, group: str = "doc_id", number: str = "line", value: str = "text") -> DataFrame:
+    """The headings with empty_leaf: below the first level, nothing but blanks up to the next heading, and no heading under it.
+
+    One pass: each line belongs to the heading in force, and an aggregate by heading says whether it has text.
+    """
+    upto = Window.partitionBy(group).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
+    own = _marked(rows, group, number, value).withColumn("section", F.count("heading").over(upto)).where("section > 0")
+    filled = F.bool_or(F.col("heading").isNull() & (text.strip(F.col(value)) != ""))
+    by = own.groupBy(group, "section").agg(F.min(number).alias("line"), F.min_by("heading", number).alias("heading"), F.coalesce(filled, F.lit(False)).alias("filled"))
+    ahead = F.coalesce(F.lead("heading.level").over(Window.partitionBy(group).orderBy("section")), F.lit(0))
+    leaf = (F.col("heading.level") > 1) & (ahead <= F.col("heading.level")) & ~F.col("filled")
+    return by.select(group, "line", "heading.*", leaf.alias("empty_leaf"))
 
 
 def empty_leaf_headings(rows: DataFrame, group: str = "doc_id", number: str = "line", value: str = "text") -> DataFrame:
     """Headings below the first level with nothing but blanks up to the next heading and no heading under them."""
-    heads = markdown_headings(rows, group, number, value)
-    w = Window.partitionBy(group).orderBy("line")
-    heads = heads.withColumns({"next_level": F.lead("level").over(w), "next_line": F.lead("line").over(w)})
-    body = rows.where(text.strip(F.col(value)) != "").select(F.col(group).alias("g_"), F.col(number).alias("line"))
-    # the heading in force at each line, and whether any line with text but its own stands under it
-    every = body.join(heads.select(F.col(group).alias("g_"), F.col("line"), F.col("line").alias("head")), ["g_", "line"], "left")
-    force = F.last("head", ignorenulls=True).over(Window.partitionBy("g_").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    filled = every.withColumn("under", force).where(F.col("head").isNull() & F.col("under").isNotNull()).select("g_", "under").distinct()
-    leaf = heads.where((F.col("level") > 1) & (F.coalesce("next_level", F.lit(0)) <= F.col("level")))
-    return leaf.join(filled, (F.col(group) == F.col("g_")) & (F.col("line") == F.col("under")), "left_anti").select(group, "line", "level", "title")
+    return markdown_outline(rows, group, number, value).where("empty_leaf").drop("empty_leaf")
 
 
 def list_semantics(tags: Column) -> Column:
