@@ -27,9 +27,9 @@ ROWS = 5
 BANDS = BINS // ROWS
 #: Documents link if PERCENT of their union is shared.
 PERCENT = 75
-#: A key is heavy with more rows than both LEAST_HEAVY and a HEAVY-th of all: at most HEAVY keys are, whatever the table. Buckets are looked at
-#: in one of LOOK documents.
-HEAVY, LEAST_HEAVY, LOOK = 1000, 2000, 64
+#: A key is heavy with more rows than both a least number (LEAST_HEAVY; PAIRS for a hub's pairs) and a HEAVY-th of all: at most HEAVY keys are,
+#: whatever the table. Buckets are looked at in one of LOOK documents.
+HEAVY, LEAST_HEAVY, PAIRS, LOOK = 1000, 2000, 200, 64
 
 
 def _orders() -> np.ndarray:
@@ -141,9 +141,9 @@ def components(edges: DataFrame) -> DataFrame:
         label, left = later, nearer
 
 
-def _heavy(counts: DataFrame, key: str, total: int) -> DataFrame:
+def _heavy(counts: DataFrame, key: str, total: int, least: int = LEAST_HEAVY) -> DataFrame:
     """Keys (``key``, rows) with more than a HEAVY-th of ``total`` rows: fewer than HEAVY of them, whatever the table."""
-    return counts.where(F.col("rows") > max(LEAST_HEAVY, total // HEAVY)).select(key, "rows")
+    return counts.where(F.col("rows") > max(least, total // HEAVY)).select(key, "rows")
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
@@ -184,8 +184,8 @@ def _open(buckets: DataFrame, label: DataFrame | None) -> DataFrame:
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [s.view(np.int64) for s in shingle_sets(batch.column(2), SHINGLE)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "component", "n", "grams"])
+        sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), SHINGLE)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "grams"])
 
 
 def _prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -195,14 +195,15 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     n - ceil(PERCENT n / 100) + 1 of either, and the places of the first shared one leave enough after them. Passages that many
     documents share stand at the end of that order.
     """
-    rows = members.join(texts, "id").select("id", "component", "text").mapInArrow(_shingled, "id long, component long, n long, grams array<long>")
-    rows = stored(rows.select("id", "component", "n", F.explode("grams").alias("gram")), "grams")
+    sets = stored(members.join(texts, "id").select("id", "text").mapInArrow(_shingled, "id long, grams array<long>"), "sets")
+    sizes = sets.select("id", F.size("grams").alias("n")).join(members, "id")
+    rows = sets.select("id", F.explode("grams").alias("gram"))
     common = rows.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("id")
     place = F.row_number().over(own.orderBy("df", "gram")) + F.col("n") - F.count("*").over(own)
-    first = rows.join(common, "gram").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+    first = rows.join(common, "gram").join(sizes, "id").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
     first = stored(first.select("gram", "id", "component", "n", "place"), "prefixes")
-    discard(rows)
+    discard(sets)
     other = first.select("gram", F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("place").alias("at"))
     left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) + 1  # at most so many can be shared from the first shared one on
     fits = (F.col("id") < F.col("b")) & (F.col("component") != F.col("c")) & (left * (100 + PERCENT) >= (F.col("n") + F.col("m")) * PERCENT)
@@ -215,8 +216,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose full shingle sets link. A text goes once to each document ``a`` that it is compared with, and meets a's own text there;
     a document in very many pairs as ``a`` has copies, and its pairs are dealt to them."""
     counts = stored(pairs.groupBy("a").agg(F.count("*").alias("rows")), "hubs")
-    heavy = F.broadcast(_heavy(counts, "a", pairs.count()))
-    parts = F.coalesce(F.ceil(F.col("rows") / LEAST_HEAVY), F.lit(1)).cast("int")
+    heavy = F.broadcast(_heavy(counts, "a", pairs.count(), PAIRS))
+    parts = F.coalesce(F.ceil(F.col("rows") / PAIRS), F.lit(1)).cast("int")
     dealt = pairs.join(heavy, "a", "left").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"), "b")
     hubs = counts.select("a").join(heavy, "a", "left").select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     need = dealt.unionByName(hubs.select(F.col("a").alias("id"), "a", "part", F.lit(None).cast("long").alias("b")))
