@@ -6,9 +6,9 @@ the tokenizer encodes a window anew that reaches one whole piece (pre-token) bey
 begin and end with what the chunks have for those pieces; then what lies between replaces the broken pieces. Where they don't agree, or a
 chunk has too few pieces to compare, the two chunks are one and are encoded as one, until all joins agree or the text is one chunk.
 
-Every new chunk goes to the tokenizer whole. Where its pieces are follows from the tokenizer's own account, or, for one that drops blanks and
-never joins words across them (:func:`blanks_part` tries it on all pairs of some words), from the blanks: the words at the chunk's ends, encoded
-alone, have to be what the chunk begins and ends with.
+A tokenizer that drops blanks and never joins words across them (:func:`blanks_part` tries it on all pairs of some words) has
+words as pieces, and a new chunk's words are looked up in a store before the tokenizer is asked; a new chunk of any other tokenizer is
+handed over whole. Words count on their own because whole chunks cost the library more time than there is: the README has the figures.
 """
 
 from __future__ import annotations
@@ -32,10 +32,9 @@ SPAN = 8
 MEAN_CHUNK = 2048
 #: Bytes of text encoded at once.
 TEXTS_BYTES = 2 << 20
-#: Chunks and windows, and words at the ends of chunks, kept for reuse in one worker process; words that the tokenizer itself remembers.
-STORE_CHUNKS = 10_000
-STORE_WORDS = 100_000
-REMEMBERED = 400_000
+#: Chunks, windows and words kept for reuse in one worker process.
+STORE_CHUNKS = 20_000
+STORE_WORDS = 400_000
 #: Words whose pairs show whether blanks part a tokenizer's words.
 _TRIED = ("a", "The", "don't", "'s", "it's", "naïve", "12", "3.5", "...", "-", "x_y", "élan", "中文", "!?", "é", "😀", "Straße", " ", "A1b2", "#tag")
 
@@ -65,8 +64,6 @@ def tokenizer(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    if resize := getattr(t.model, "_resize_cache", None):  # its own store of words; results don't depend on it
-        resize(REMEMBERED)
     return t
 
 
@@ -157,45 +154,36 @@ class ChunkedEncoder:
         first, inner, last, lead, trail = self._coded([ids[: edges[1]], ids[edges[1] : edges[n - 1]], ids[edges[n - 1] :], ids[edges[1] : edges[a]], ids[edges[b] : edges[n - 1]]])
         return Chunk(first, inner, last, shown[: stop[a - 1]].encode(), shown[stop[b - 1] :].encode(), lead[0], trail[0])
 
-    def _alone(self, words: set[bytes]) -> dict[bytes, Coded]:
-        """The encodings of words at the ends of chunks; only those that the store doesn't have go to the tokenizer."""
-        found = {w: self.words[w] for w in words}
-        if new := [w for w, x in found.items() if x is None]:
+    def _from_words(self, fresh: dict[bytes, list[bytes]]) -> dict[bytes, Chunk | Coded]:
+        """Chunks whose words are encoded each on its own, as blanks part them; only words that no store has go to the tokenizer."""
+        words = {w: self.words[w] for w in set().union(*fresh.values())}
+        if new := [w for w, x in words.items() if x is None]:
             for w, made in zip(new, self._encoded(new), strict=True):
-                found[w] = made
+                words[w] = made
                 self.words.put(w, made)
-        return found
-
-    def _parted(self, texts: list[bytes]) -> list[Chunk | Coded]:
-        """Chunks of a tokenizer that blanks part: each is encoded whole, and its first and last two words alone."""
-        ends = [(*x[:2], *y[-2:], x[2], y[0]) if len(x := text.split(None, 2)) == 3 and len(y := text.rsplit(None, 2)) == 3 and len(text.split(None, 3)) == 4 else None for text in texts]
-        words = self._alone({w for e in ends if e for w in e[:4]})
-        out: list[Chunk | Coded] = []
-        for text, own, found in zip(texts, ends, self.tok.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False), strict=True):
-            ids = found.ids
-            if own:
-                first, lead, trail, last = (words[w] for w in own[:4])
-                raw, a, z = array("I", ids).tobytes(), len(first[0]), len(last[0])
-                if len(raw) >= a + z + len(lead[0]) + len(trail[0]) and raw.startswith(first[0] + lead[0]) and raw.endswith(trail[0] + last[0]):
-                    inner = raw[a : len(raw) - z], " ".join([self.tokens[k] for k in ids[a // 4 : len(ids) - z // 4]]) if self.tokens else ""
-                    out.append(Chunk(first, inner, last, text[: len(text) - len(own[4])], text[len(own[5]) :], lead[0], trail[0]))
-                    continue
-            out += self._coded([ids])
+        out: dict[bytes, Chunk | Coded] = {}
+        for text, own in fresh.items():
+            parts = [words[w] for w in own]
+            if len(own) < 4:
+                out[text] = _glued(parts)
+                continue
+            head, tail = text[: len(text) - len(text.split(None, 2)[2])], text[len(text.rsplit(None, 2)[0]) :]
+            out[text] = Chunk(parts[0], _glued(parts[1:-1]), parts[-1], head, tail, parts[1][0], parts[-2][0])
         return out
 
     def _learn(self, texts: list[bytes], known: dict[bytes, Chunk | Coded]) -> None:
         """Put the chunks' encodings into ``known``, from the store or made."""
         self.met += len(texts)
-        fresh: dict[bytes, None] = {}
+        fresh = {}
         for text in texts:
             if text not in known and text not in fresh:
                 if (was := self.chunks[text]) is not None:
                     known[text] = was
                 else:
-                    fresh[text] = None
+                    fresh[text] = text.split() if self.parted else []
         self.encoded += len(fresh)
-        made = self._parted(list(fresh)) if self.parted else [self._whole(text) for text in fresh]
-        for text, chunk in zip(fresh, made, strict=True):
+        made = self._from_words(fresh) if self.parted else {text: self._whole(text) for text in fresh}
+        for text, chunk in made.items():
             known[text] = chunk
             self.chunks.put(text, chunk)
 

@@ -29,8 +29,7 @@ def test_chunks_equal_the_library_for_both_kinds_of_tokenizers(path, monkeypatch
     assert own.parted == (path == WORD) and own.joins > own.grown > 0  # some joins agree at once, others grow
 
 
-@pytest.mark.parametrize("path", [WORD, BYTE])
-def test_whole_chunks_and_windows_go_to_the_tokenizer(path):
+def test_whole_chunks_and_windows_go_to_the_tokenizer():
     class Spy:
         def __init__(self, tok):
             self.tok, self.whole, self.windows = tok, [], []
@@ -46,7 +45,7 @@ def test_whole_chunks_and_windows_go_to_the_tokenizer(path):
             self.windows += texts
             return self.tok.encode_batch_fast(texts, **kw)
 
-    own = bpe.ChunkedEncoder(path)
+    own = bpe.ChunkedEncoder(BYTE)
     own.tok = spy = Spy(own.tok)
     text = " ".join(f"word{i % 977}ing" for i in range(20000)).encode()
     own.encode([text])
@@ -60,6 +59,17 @@ def test_whole_chunks_and_windows_go_to_the_tokenizer(path):
     assert sum(map(len, again)) < 0.3 * len(text)  # what is shared isn't encoded again
 
 
+def test_words_and_windows_go_to_the_tokenizer_that_blanks_part(monkeypatch):
+    own, asked = bpe.ChunkedEncoder(WORD), []
+    plain = own._encoded
+    monkeypatch.setattr(own, "_encoded", lambda words: asked.extend(words) or plain(words))
+    text = " ".join(f"word{i % 977}ing" for i in range(20000)).encode()
+    own.encode([text])
+    assert len(asked) == len(set(asked)) and len(set(text.split()) - set(asked)) < 10 and own.joins > 20 and own.windows  # the others stand at cuts, in windows only
+    own.encode([b"another beginning " + text])
+    assert asked[-2:] and len(asked) < len(set(text.split())) + 2 * len(own.chunks)  # no word twice; those that cuts break besides
+
+
 def test_joins_that_do_not_agree_make_one_chunk():
     """A chunk whose stored ids are wrong at a join is found out by the window, and both are encoded as one."""
     own, tok = bpe.ChunkedEncoder(WORD), bpe.tokenizer(WORD)
