@@ -34,6 +34,7 @@ SCRIPTS = {
     "Kana": r"[\x{3040}-\x{30FF}]",
     "Latin": r"\p{IsLatin}",
 }
+RECOGNISER_LANGUAGES = {"en": "eng", "zh": "chi_sim+eng", "de": "deu", "fr": "fra", "es": "spa", "it": "ita", "pt": "por", "ja": "jpn", "ko": "kor", "ru": "rus"}
 # ---- end of fixed values ----
 
 
@@ -220,3 +221,10 @@ def section_type(title: Column) -> Column:
 
 def is_toc_candidate(text: Column, kind: Column) -> Column:
     return (F.length(text) > 0) & (F.length(text) <= 90) & (matches(text, TOC_SIGNAL) | matches(text, NUMBERED) | kind.isin("heading_candidate", "structure_candidate"))
+
+
+def recogniser_language(lang: Column) -> Column:
+    """What a recogniser calls a language tag: by its first part, English without one, the part itself if it isn't known."""
+    part = F.lower(F.substring_index(F.coalesce(F.nullif(lang, F.lit("")), F.lit("en")), "-", 1))
+    known = F.create_map(*(F.lit(x) for pair in RECOGNISER_LANGUAGES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, part), part)

@@ -66,3 +66,35 @@ def score(rows: DataFrame, least: int = 98) -> DataFrame:
     """run, total and status of scored criteria (run, score, blockers): PASS from ``least`` points on without blockers."""
     by = rows.groupBy("run").agg(F.sum("score").alias("total"), F.sum("blockers").alias("blockers"))
     return by.select("run", "total", F.when((F.col("total") >= least) & (F.col("blockers") == 0), "PASS").otherwise("FAIL").alias("status"))
+
+
+# ---- fixed values: what an older package has to have ----
+REQUIRED = ("package_manifest.json", "ledger/source_blocks.jsonl", "audit/source_integrity.json")
+AUDITS = ("source_integrity", "ocr_audit", "toc_validation", "boundary_validation", "split_coverage", "cleaning_audit")
+SEMANTIC = "audit/manual_semantic_coverage.json"
+# ---- end of fixed values ----
+
+
+def problems(packages: DataFrame, files: DataFrame, blocks: DataFrame, strict: bool = False) -> DataFrame:
+    """package_id, kind and path of what older packages lack. ``files``: package_id, path, status (of audits); ``blocks``: package_id of each source block.
+
+    Strictly, every audit has to be there and to have passed, and a reader's coverage as well.
+    """
+    want = lambda kind, paths: packages.select("package_id", F.explode(F.array(*map(F.lit, paths))).alias("path"), F.lit(kind).alias("kind"))
+    own = files.select("package_id", "path", "status", F.lit(True).alias("there"))
+    both = lambda kind, paths: want(kind, paths).join(own, ["package_id", "path"], "left")
+    out = both("missing_required_artifact", REQUIRED).where("there is null").select("package_id", "kind", "path")
+    empty = packages.join(blocks.select("package_id").distinct(), "package_id", "left_anti").select("package_id", F.lit("source_coverage_gap").alias("kind"), F.lit("ledger/source_blocks.jsonl").alias("path"))
+    out = out.unionByName(empty)
+    if strict:
+        audits = both("missing_required_audit", [f"audit/{a}.json" for a in AUDITS])
+        failed = audits.where("there and not coalesce(status in ('PASS', 'PASS_STRICT'), false)").withColumn("kind", F.lit("upstream_audit_not_pass"))
+        read = both("semantic_review_missing", (SEMANTIC,)).where("there is null or not coalesce(status = 'PASS', false)")
+        for part in (audits.where("there is null"), failed, read):
+            out = out.unionByName(part.select("package_id", "kind", "path"))
+    return out
+
+
+def validated(packages: DataFrame, found: DataFrame) -> DataFrame:
+    """package_id and status of older packages, given their problems."""
+    return packages.select("package_id").join(found.select("package_id").distinct().withColumn("bad", F.lit(True)), "package_id", "left").select("package_id", F.when(F.col("bad"), "FAIL_REVIEW").otherwise("PASS").alias("status"))

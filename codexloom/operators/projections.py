@@ -113,3 +113,11 @@ def replayed(decided: DataFrame) -> DataFrame:
     first = decided.groupBy("canonical_revision").agg(F.min("seq").alias("first"))
     step = first.withColumn("step", F.row_number().over(Window.orderBy("first")))  # a handful of revisions
     return decided.join(step.select("canonical_revision", "step"), "canonical_revision")
+
+
+def outline_candidates(outline: DataFrame) -> DataFrame:
+    """Candidates for a table of contents from a document's outline (doc_id, place, level, title, page): titles that aren't blank, on real pages."""
+    title = text.collapse(F.col("title"))
+    rows = outline.select("doc_id", "place", F.col("level").cast("int").alias("level"), title.alias("title"), F.when(F.col("page") >= 1, F.col("page")).alias("source_page"))
+    own = ids.stable_id("toccand", F.col("doc_id"), F.col("place"), F.col("title"))
+    return rows.where("title <> '' and level >= 1").select("doc_id", own.alias("candidate_id"), "place", "level", "title", "source_page")

@@ -161,3 +161,31 @@ def q87_edits_and_findings(spark, sf_dir):
     parts.append(_fact(inner, "under", "k", structure.under(F.col("outer"), F.col("inner"))))
     pieces = make([(1, 1, "a", [50.0, 1.0, 60.0, 9.0]), (1, 2, "b", [0.0, 4.0, 9.0, 9.0]), (1, 2, "c", [0.0, 20.0, 9.0, 30.0]), (1, 3, "d", [0.0, 12.0, 5.0, 14.0])], "page_id int, component int, id string, box array<double>")
     return _all([*parts, _fact(objects.component_order(pieces), "component_order", "rank", "id")])
+
+
+_MORE = [
+    ("text_pieces", "1:1", "h1:Title & more"), ("text_pieces", "1:2", "p:two lines\nof <text>"), ("text_pieces", "1:3", "h2:Sub"), ("text_pieces", "2:1", "p:tag © 2"), ("problems", "old", "missing_required_audit:audit/cleaning_audit.json"), ("problems", "old", "upstream_audit_not_pass:audit/ocr_audit.json"), ("problems", "none", "missing_required_artifact:ledger/source_blocks.jsonl"), ("problems", "none", "source_coverage_gap:ledger/source_blocks.jsonl"),
+    ("validated", "old", "PASS"), ("validated", "none", "FAIL_REVIEW"), ("outline_candidates", "1", "1:One two:5"), ("outline_candidates", "4", "2:Two:-"), ("recogniser_language", "zh-CN", "chi_sim+eng"), ("recogniser_language", "", "eng"), ("recogniser_language", "SV-x", "sv"), ("vector_figures", "c1", "82.0,87.0,203.0,203.0"), ("vector_figures", "c4", "47.0,301.0,103.0,363.0"),
+]
+
+
+@query(_sql(_MORE))
+def q88_pieces_outlines_figures(spark, sf_dir):
+    from ..sources import ledgers
+
+    make = spark.createDataFrame
+    pieces = ledgers.text_pieces(make([(1, "# Title &amp; more\n\ntwo lines\nof &lt;text&gt;\n \n \n\n## Sub\n\n# "), (2, "#tag &copy; 2"), (3, "")], "k int, t string"), "k", "t")
+    old = make([("old",), ("none",)], "package_id string")
+    there = [("old", p, "PASS") for p in (*legacy.REQUIRED, legacy.SEMANTIC, *(f"audit/{a}.json" for a in legacy.AUDITS[1:-1]))] + [("none", p, "PASS") for p in (legacy.REQUIRED[0], legacy.SEMANTIC, *(f"audit/{a}.json" for a in legacy.AUDITS))]
+    files, blocks = make([(k, p, "FAIL" if k == "old" and "ocr" in p else s) for k, p, s in there], "package_id string, path string, status string"), make([("old",)], "package_id string")
+    outline = projections.outline_candidates(make([(1, 1, 1, " One  two", 5), (1, 2, 1, " ", 6), (1, 3, 0, "x", 7), (1, 4, 2, "Two", -1)], "doc_id int, place int, level int, title string, page int"))
+    clusters = make([(1, "c1", [100.0, 100.0, 150.0, 150.0]), (1, "c1", [140.0, 140.0, 200.0, 200.0]), (1, "c2", [400.0, 400.0, 410.0, 410.0]), (1, "c3", [300.0, 10.0, 360.0, 60.0]), (1, "c4", [50.0, 300.0, 100.0, 360.0])], "page_id int, caption_id string, box array<double>")
+    captions = make([(1, "c1", [100.0, 210.0, 200.0, 220.0]), (1, "c2", [0.0, 0.0, 1.0, 1.0]), (1, "c3", [300.0, 62.0, 360.0, 70.0]), (1, "c4", [50.0, 290.0, 100.0, 300.0])], "page_id int, id string, box array<double>")
+    drawings = make([(1, [100.0 + k, 100.0, 100.0 + k, 200.0]) for k in range(3)] + [(1, [400.0, 400.0, 401.0, 401.0 + k]) for k in range(5)] + [(1, [300.0, 10.0, 301.0, 20.0])] + [(1, [50.0, 300.0 + k, 100.0, 300.0 + k]) for k in range(3)], "page_id int, box array<double>")
+    texts = make([(1, "a label", [85.0, 90.0, 99.0, 99.0]), (1, "far", [500.0, 500.0, 510.0, 510.0]), (1, "w " * 13, [60.0, 90.0, 99.0, 99.0])], "page_id int, text string, box array<double>")
+    figures = spatial.vector_figures(clusters, captions, drawings, texts, make([(1, 600.0, 800.0)], "page_id int, width double, height double"))
+    langs = make([("zh-CN",), ("",), ("SV-x",)], "lang string")
+    return _all([
+        _fact(pieces, "text_pieces", F.concat_ws(":", "k", "ordinal"), F.concat_ws(":", "tag", "text")), _fact(legacy.problems(old, files, blocks, True), "problems", "package_id", F.concat_ws(":", "kind", "path")), _fact(legacy.validated(old, legacy.problems(old, files, blocks)), "validated", "package_id", "status"),
+        _fact(outline, "outline_candidates", "place", F.concat_ws(":", "level", "title", F.coalesce(F.col("source_page").cast("string"), F.lit("-")))), _fact(langs, "recogniser_language", "lang", text.recogniser_language(F.col("lang"))), _fact(figures, "vector_figures", "caption_id", F.array_join(F.transform("clip", lambda x: x.cast("string")), ",")),
+    ])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import text
 from ..operators.ordering import root_digest
+from ..session import ship
 
 #: Formats by the lower-case suffix of a path.
 FORMATS = {
@@ -107,10 +110,29 @@ def attested(files: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(own, "path", "left").where("expected_sha256 is not null and not (found <=> expected_sha256)").select("path", F.when(F.col("found").isNull(), "missing").otherwise("mismatch").alias("finding"))
 
 
+def _unescaped(values: pd.Series) -> pd.Series:
+    import html
+
+    return values.map(lambda v: None if v is None else html.unescape(v))
+
+
+def unescaped(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the entities of a column's texts as their characters. Only texts that have an ampersand leave the JVM."""
+    ship(df.sparkSession)
+    has = F.coalesce(F.contains(name, F.lit("&")), F.lit(False))
+    return df.where(~has).unionByName(df.where(has).withColumn(name, pandas_udf(_unescaped, "string")(name)).select(df.columns))
+
+
+def text_pieces(docs: DataFrame, key: str, value: str) -> DataFrame:
+    """Pieces of texts between blank lines: key, ordinal (from 1, of all pieces), tag (h1, h2 or p) and text, entities as characters."""
+    pieces = docs.select(key, F.posexplode(F.split(value, r"\n\s*\n")).alias("at", "piece")).withColumn("piece", text.strip(F.col("piece"))).where("piece <> ''")
+    tag = F.when(F.startswith("piece", F.lit("# ")), "h1").when(F.startswith("piece", F.lit("## ")), "h2").otherwise("p")
+    clean = text.strip(F.regexp_replace("piece", "^[# ]+", ""))
+    rows = pieces.select(key, (F.col("at") + 1).alias("ordinal"), tag.alias("tag"), clean.alias("text")).where("text <> ''")
+    return unescaped(rows, "text")
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of text and Markdown files: page_id, ordinal, tag (h1, h2 or p) and text; pieces between blank lines."""
+    """Blocks of text and Markdown files: file, page_id, ordinal, tag (h1, h2 or p) and text; pieces between blank lines."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    pieces = whole.select("file", F.posexplode(F.split("value", r"\n\s*\n")).alias("at", "piece")).withColumn("piece", text.strip(F.col("piece"))).where("piece <> ''")
-    tag = F.when(F.startswith("piece", F.lit("# ")), "h1").when(F.startswith("piece", F.lit("## ")), "h2").otherwise("p")
-    clean = F.when(tag != "p", F.regexp_replace("piece", "^[# ]+", "")).otherwise(F.col("piece"))
-    return pieces.select("file", F.lit("document_0001").alias("page_id"), (F.col("at") + 1).alias("ordinal"), tag.alias("tag"), clean.alias("text"))
+    return text_pieces(whole, "file", "value").select("file", F.lit("document_0001").alias("page_id"), "ordinal", "tag", "text")
