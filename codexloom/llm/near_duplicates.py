@@ -193,21 +193,22 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     With each set ordered from its rarest shingle, two sets that share PERCENT of their union share one of the first
     n - ceil(PERCENT n / 100) + 1 of either, and the places of the first shared one leave enough after them. Passages that many
-    documents share stand at the end of that order.
+    documents share stand at the end of that order. Joins here and of texts are always sorted ones: a side that is small enough to be sent
+    around on a small table isn't on a large one, and the plan is the same at every size.
     """
-    sets = stored(members.join(texts, "id").select("id", "text").mapInArrow(_shingled, "id long, grams array<long>"), "sets")
+    sets = stored(members.hint("merge").join(texts, "id").select("id", "text").mapInArrow(_shingled, "id long, grams array<long>"), "sets")
     sizes = sets.select("id", F.size("grams").alias("n")).join(members, "id")
     rows = sets.select("id", F.explode("grams").alias("gram"))
     common = rows.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("id")
     place = F.row_number().over(own.orderBy("df", "gram")) + F.col("n") - F.count("*").over(own)
-    first = rows.join(common, "gram").join(sizes, "id").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+    first = rows.join(common.hint("merge"), "gram").join(sizes.hint("merge"), "id").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
     first = stored(first.select("gram", "id", "component", "n", "place"), "prefixes")
     discard(sets)
     other = first.select("gram", F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("place").alias("at"))
     left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) + 1  # at most so many can be shared from the first shared one on
     fits = (F.col("id") < F.col("b")) & (F.col("component") != F.col("c")) & (left * (100 + PERCENT) >= (F.col("n") + F.col("m")) * PERCENT)
-    pairs = stored(first.join(other, "gram").where(fits).select(F.col("id").alias("a"), "b").distinct(), "pairs")
+    pairs = stored(first.join(other.hint("merge"), "gram").where(fits).select(F.col("id").alias("a"), "b").distinct(), "pairs")
     discard(first)
     return pairs
 
@@ -221,7 +222,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = pairs.join(heavy, "a", "left").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"), "b")
     hubs = counts.select("a").join(heavy, "a", "left").select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     need = dealt.unionByName(hubs.select(F.col("a").alias("id"), "a", "part", F.lit(None).cast("long").alias("b")))
-    sides = texts.join(need, "id").select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    sides = texts.join(need.hint("merge"), "id").select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     links = stored(sides.mapInArrow(_confirmed, "a long, b long"), "links")
     discard(counts)
     return links
@@ -241,7 +242,7 @@ def link(docs: DataFrame, reps: DataFrame, id_col: str = "doc_id", text_col: str
     """(id, component) of the distinct shingle sets' representatives that link with another."""
     buckets = _buckets(reps)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = stored(texts.join(buckets.select("id").distinct(), "id"), "texts")
+    texts = stored(texts.join(buckets.select("id").distinct().hint("merge"), "id"), "texts")
     label = None
     for propose in (lambda: stored(_first_stars(buckets), "pairs"), lambda: _prefix_pairs(_open(buckets, label), texts)):
         pairs = propose()
