@@ -33,8 +33,8 @@ MEAN_CHUNK = 2048
 #: Bytes of text encoded at once.
 TEXTS_BYTES = 2 << 20
 #: Chunks, windows and words kept for reuse in one worker process.
-STORE_CHUNKS = 20_000
-STORE_WORDS = 400_000
+STORE_CHUNKS = 4_000
+STORE_WORDS = 250_000
 #: Words whose pairs show whether blanks part a tokenizer's words.
 _TRIED = ("a", "The", "don't", "'s", "it's", "naïve", "12", "3.5", "...", "-", "x_y", "élan", "中文", "!?", "é", "😀", "Straße", " ", "A1b2", "#tag")
 
