@@ -73,6 +73,11 @@ def q06_text_profile(spark, sf_dir):
     return docs.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(text.alnum_count(t) / F.greatest(F.lit(1), F.length(t))), 6).alias("alnum_ratio"), F.round(F.avg(text.cjk_ratio(t)), 6).alias("cjk_ratio"), F.count_if(F.array_contains(text.scripts(t), "Latin")).alias("latin"))
 
 
+#: Whether a line t may stand in a table of contents.
+_TOC_SQL = rf"""length(t) BETWEEN 1 AND 90 AND (({KIND_SQL}) = 'heading_candidate'
+  OR regexp_matches(t, '(?i)^(chapter|part|book|section|introduction|conclusion|notes|bibliography|index)($|[^\p{{L}}\p{{N}}_])') OR regexp_matches(t, '^([0-9]+\.|[IVXLCDM]+\.|第[一二三四五六七八九十百0-9]+[章节部篇])'))"""
+
+
 @query(
     rf"""WITH r AS (SELECT doc_id, ordinal, text AS t FROM ({LINES_SQL}) UNION ALL SELECT d, n, t FROM {values(ODD_LINES, "d, n, t")}),
 k AS (SELECT doc_id, ordinal, t, NULL AS tag FROM r), c AS (SELECT *, {KIND_SQL} AS kind FROM k)
@@ -286,16 +291,18 @@ def q39_chunk_ids(spark, sf_dir):
 
 
 @query(
-    f"""WITH b AS (SELECT doc_id, ordinal, lower(trim(text)) AS low, coalesce(sum(length(trim(text))) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) AS following FROM ({LINES_SQL})),
-c AS (SELECT doc_id, 'toc_' || ordinal AS toc_id, lower(CASE WHEN ordinal % 2 = 0 THEN trim(text) ELSE array_to_string(string_split(trim(text), ' ')[1:3], ' ') END) AS cue FROM ({LINES_SQL}) WHERE ordinal <= 4),
-s AS (SELECT b.doc_id, toc_id, ordinal, max(round(CASE WHEN low = cue THEN 0.90 ELSE 0.70 END + CASE WHEN following >= 120 THEN 0.03 ELSE 0 END, 2))::DOUBLE AS score FROM b JOIN c ON b.doc_id = c.doc_id AND cue <> '' AND (low = cue OR contains(low, cue) OR contains(cue, low)) GROUP BY ALL)
+    f"""WITH b AS (SELECT doc_id, ordinal, lower(trim(text)) AS low, ({KIND_SQL}) = 'heading_candidate' AS heading, coalesce(sum(length(trim(text))) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) AS following FROM (SELECT *, text AS t, NULL AS tag FROM ({LINES_SQL}))),
+c AS (SELECT doc_id, 'toc_' || ordinal AS toc_id, lower(CASE WHEN ordinal % 2 = 0 THEN trim(text) ELSE array_to_string(string_split(trim(text), ' ')[1:3], ' ') END) AS cue FROM (SELECT *, text AS t, NULL AS tag FROM ({LINES_SQL})) WHERE ordinal = 1 OR ({_TOC_SQL})),
+s AS (SELECT b.doc_id, toc_id, ordinal, max(round(CASE WHEN low = cue THEN 0.90 ELSE 0.70 END + CASE WHEN heading THEN 0.03 ELSE 0 END + CASE WHEN following >= 120 THEN 0.03 ELSE 0 END, 2))::DOUBLE AS score FROM b JOIN c ON b.doc_id = c.doc_id AND cue <> '' AND (low = cue OR contains(low, cue) OR contains(cue, low)) GROUP BY ALL)
 SELECT doc_id, toc_id, ordinal, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, toc_id ORDER BY score DESC, ordinal) AS rank FROM s) WHERE rank <= 5"""
 )
 def q40_boundaries(spark, sf_dir):
+    """Cues are the first line and every line of the whole document that may be a heading; odd ones by their first three words."""
     rows = ledger.lines(table(spark, sf_dir, "documents"))
     t = F.trim("text")
     cue = F.when(F.col("ordinal") % 2 == 0, t).otherwise(F.array_join(F.slice(F.split(t, " "), 1, 3), " "))
-    cues = rows.where("ordinal <= 4").select("doc_id", F.concat(F.lit("toc_"), F.col("ordinal").cast("string")).alias("toc_id"), cue.alias("cue"))
+    titles = (F.col("ordinal") == 1) | text.is_toc_candidate(F.col("text"), text.block_kind(F.col("text")))
+    cues = rows.where(titles).select("doc_id", F.concat(F.lit("toc_"), F.col("ordinal").cast("string")).alias("toc_id"), cue.alias("cue"))
     blocks = rows.select("doc_id", "ordinal", "text", text.block_kind(F.col("text")).alias("block_kind"))
     return structure.boundary_scores(cues, blocks).select("doc_id", "toc_id", "ordinal", "score", F.col("rank").cast("long").alias("rank"))
 
