@@ -277,3 +277,17 @@ def test_odd_rows_of_every_text_operator(spark):
         assert make(odd.limit(0)).count() == 0, name
     assert toxicity.learn(docs.limit(0), labels) is None and language_id.learn(docs.limit(0)) is None
     assert toxicity.learn(docs, labels.limit(0)) is None
+
+
+def test_bands_lose_no_pair_at_the_threshold():
+    from codexloom.llm import near_duplicates as nd
+
+    r, lost = np.random.default_rng(7), 0
+    for size in (7, 20, 60, 200, 600):
+        for _ in range(120):
+            both = int(np.ceil(0.75 * 2 * size / 1.75))
+            x = r.integers(0, 1 << 63, 2 * size - both, dtype=np.uint64) * np.uint64(2)
+            a, b = np.sort(x[:size]), np.sort(np.r_[x[:both], x[size:]])
+            keys = nd.band_keys(np.stack([nd.sketch(a), nd.sketch(b)]))
+            lost += not (keys[0] == keys[1]).any()
+    assert lost == 0
