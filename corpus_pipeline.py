@@ -33,7 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.when(F.rlike("text", F.lit(WORD)), hashed)))
     kept = near_duplicates(keyed, key).where("kept").groupBy(F.col("doc_id").alias(kept_key)).agg((F.count("*") > 1).alias(repeated))
     kept = stored(kept.withColumn(repeated, F.col(repeated) & F.col(kept_key).isNotNull()), "kept")
-    single = keyed.join(kept.where(~F.col(repeated)), F.col(key).eqNullSafe(F.col(kept_key)), "left_semi").drop(key)
+    # a sorted join at every size: sent around on small tables only, the kept ids would make the shuffle grow faster than the input
+    single = keyed.join(kept.where(~F.col(repeated)).hint("merge"), F.col(key).eqNullSafe(F.col(kept_key)), "left_semi").drop(key)
     if kept.where(repeated).isEmpty():  # as a rule
         return single
     several = keyed.join(kept.where(repeated), F.col(key) == F.col(kept_key), "left_semi")
