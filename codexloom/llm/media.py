@@ -213,6 +213,12 @@ def with_features(described: DataFrame, folder: str) -> DataFrame:
     return described.mapInArrow(_features(folder), _REPORT)
 
 
+def read_back(index: DataFrame, folder: str) -> DataFrame:
+    """What :func:`with_features` of :func:`with_metadata` gives, in one Python worker a task: one after the other, each keeps a worker of its own."""
+    describe, compute = _headers(folder), _features(folder)
+    return index.mapInArrow(lambda batches: compute(describe(batches)), _REPORT)
+
+
 #: Bytes of payloads that a task reads back.
 READ_BYTES = 16 << 20
 
@@ -227,4 +233,4 @@ def media_report(docs: DataFrame) -> DataFrame:
     """Store, describe and read back the whole texts of ``docs``; nulls, repeated rows and payloads as in :func:`write_media`, an empty table gives
     no rows, and other columns aren't read."""
     folder = new_path(docs.sparkSession, "media")
-    return with_features(with_metadata(dealt(write_media(docs, folder)), folder), folder)
+    return read_back(dealt(write_media(docs, folder)), folder)

@@ -101,6 +101,15 @@ def test_media_read_back(spark, texts, tmp_path):
     assert media.media_report(df.limit(0)).count() == 0
 
 
+def test_media_report_reads_back_in_one_worker_a_task(spark, texts, tmp_path):
+    folder = f"file://{tmp_path}/shards"
+    df = frame(spark, [*texts, "same", "same"])
+    report = media.media_report(df)
+    assert report._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    steps = media.with_features(media.with_metadata(media.write_media(df, folder), folder), folder)
+    assert report.columns == steps.columns and sorted(report.collect()) == sorted(steps.collect())
+
+
 def test_png_is_valid_and_lossless():
     payload = bytes(range(192)) * 3
     image = media.to_png(payload)
