@@ -1,6 +1,7 @@
 """Operators on literal rows."""
 
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -199,6 +200,25 @@ def test_passages(spark):
     assert {(r.doc_id, r.item_id) for r in passages.contained(docs, items).collect()} == want and want
 
 
+def test_passages_without_an_inner_word(spark):
+    """Every short piece of odd texts, with blanks of several kinds and characters beyond 16 bits, against a plain search."""
+    texts = ["for  that\t\nxy\u00a0z", " \U0001f600a\U0001f601 b", "%%%", "", None, "  ", "a\n\nb", "wordwithoutblanks", "\x0b\x0cé e\u0301"]
+    pieces = sorted({t[a:b] for t in texts if t for a in range(len(t)) for b in range(a + 1, min(a + 6, len(t)) + 1)}) + ["nowhere", "for that", "%%%%", " \n\n", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    items = spark.createDataFrame(list(enumerate(pieces)), "item_id int, passage string")
+    want = sorted((d, i) for d, t in enumerate(texts) for i, p in enumerate(pieces) if t and p and p in t)
+    assert sorted((r.doc_id, r.item_id) for r in passages.contained(docs, items).collect()) == want
+
+
+def test_short_passages_in_a_long_text(spark):
+    """The time grows with the text's length, not with its square."""
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("some words, "), 60_000), F.repeat(F.lit("xyz"), 100_000), F.lit(" zq")).alias("text"))
+    items = spark.createDataFrame([(1, "zq"), (2, "zx"), (3, "e w"), (4, "yy"), (5, "s, s")], "item_id int, passage string")
+    began = time.monotonic()
+    assert sorted(r.item_id for r in passages.contained(docs, items).collect()) == [1, 2, 3, 5]
+    assert time.monotonic() - began < 60
+
+
 def test_numbers_and_digests_of_a_whole_table(spark):
     rows = spark.createDataFrame([(i * 7 % 101, f"v{i * 7 % 101}") for i in range(101)], "k int, v string").repartition(5)
     out = ordering.with_next(ordering.numbered(rows, ["k"], "place"), "place", "v", "next").collect()
