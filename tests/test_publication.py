@@ -27,6 +27,19 @@ def test_first_files_and_revisions(spark):
     assert {r.seq for r in rebuild.rehydrated(log, "S", "r_1", "c1").collect()} == {1, 4}
 
 
+def test_rebuild_reads_its_tables_once_or_twice(spark):
+    """Decisions are judged in one pass over blocks and two over observations, and applied in one more over blocks; rows are right with a join that passes over an exclusion and one that lacks a member."""
+    rows = [("d", "p1" if k < 4 else "p2", f"b{k}", k, f"e{k}", f"t{k}") for k in range(1, 10)]
+    made = [("x", "exclude_block", "b2", None, None, None, "noise", None), ("j", "join_blocks_across_surfaces", "b1", ["b1", "b3", "b4"], None, None, None, None), ("m", "join_blocks_across_surfaces", "b5", ["b5", "b6", None], "t", None, None, None), ("o", "reorder_blocks", "b8", ["b9", "b8"], None, None, None, None), ("v", "select_variant", "b7", None, None, "w7", None, None)]
+    blocks = spark.createDataFrame(rows, "doc_id string, page_id string, block_id string, ordinal int, evidence_id string, text string")
+    decisions = spark.createDataFrame(made, rebuild.DECISIONS)
+    observed = spark.createDataFrame([(e, p, f"g{e}", t) for _, p, _, _, e, t in rows] + [("w7", "p2", "ge7", "T7")], "evidence_id string, page_id string, variant_group_id string, text string")
+    assert sorted(tuple(r) for r in rebuild.findings(blocks, decisions, observed).collect()) == [("m", "member_missing")]
+    out = rebuild.rebuild(blocks, decisions, observed)
+    assert [(r.place, r.text, r.decision_id) for r in out.orderBy("place").collect()] == [(1, "t1 t3 t4", "j"), (2, "t2", "x"), (3, "t5", None), (4, "t6", None), (5, "T7", "v"), (6, "t9", "o"), (7, "t8", "o")]
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 5
+
+
 def test_object_rows(spark):
     objects = spark.createDataFrame([("k", "o", ["b", "a", "x"]), ("k", "e", [])], "package_id string, object_id string, asset_occurrence_ids array<string>")
     exported = spark.createDataFrame([("k", "a", "as/a"), ("k", "b", "as/b")], "package_id string, occurrence_id string, export_path string")
